@@ -17,8 +17,8 @@ VIEWS: dict[str, str] = {
         CASE WHEN l.quality IS NULL THEN NULL ELSE d.n_chars % 900 END AS calories,
         d.n_chars % 60 AS carbs, d.n_chars % 25 AS fat, d.doc_id % 6 + 1 AS servings,
         TIMESTAMP '2024-01-01 00:00:00' + CAST(d.doc_id AS INT) * INTERVAL '1' MINUTE AS created_at,
-        list_filter(string_split(d.text, chr(10)), x -> length(x) < 80) AS ingredients,
-        list_filter(string_split(d.text, chr(10)), x -> length(x) >= 80) AS instructions,
+        [x FOR x IN string_split(d.text, chr(10)) IF length(x) < 80] AS ingredients,
+        [x FOR x IN string_split(d.text, chr(10)) IF length(x) >= 80] AS instructions,
         [d.lang, d.source] AS tags
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "v_users": """SELECT c_custkey AS id, c_name AS name,

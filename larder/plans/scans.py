@@ -153,8 +153,8 @@ def nutrition_payload_ingest(spark, d):
 
 
 @query("html_page_source", """
-    SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title_html,
-           regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h1_html FROM pages""")
+    SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title_html,
+           trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) AS h1_html FROM pages""")
 def html_page_source(spark, d):
     """Title and first heading taken from the parsed page, with entities put back for the check."""
     parsed = html.parse_pages(tables.table(spark, d, "pages").select("page_id", "html"))
