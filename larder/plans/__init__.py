@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "filters"]
+MODULES = ["scans", "filters", "search"]
 
 
 def load_all():
