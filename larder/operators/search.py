@@ -1,122 +1,140 @@
 """Product search over whole query tables: candidates, ranking, substitutes.
 
-The one expensive step is 'name contains every term'. It never runs as a cross
-join: names and terms meet on a short piece of text (a gram), and only pairs that
-share their rarest gram are verified.
-
-Product rows are first reduced to their distinct names, and of each name only the
-cheapest rows that could still be among the wanted k are kept. That is exact: a
-row among the k cheapest of a query is among the k cheapest of its own name.
+The expensive step is 'name contains every term'. Product rows are first reduced
+to their distinct names, each with only the cheapest rows that could still be
+among the wanted k. That is exact: a row among the k cheapest of a term set is
+among the k cheapest of its own name. Term sets then meet the names in one of two
+ways, chosen by counting them (never a cross join):
+
+* few sets (bounded, counted): they travel as a literal inside the expression and
+  every name is tested once, with no shuffle;
+* many sets: names and sets are joined on a short piece of text (a gram), each set
+  filed under its rarest gram, and only pairs that share it are verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.search import expand_query, multi_word_score
 from larder.functions.text import iota_canonical, substitute_norm
 from larder.operators.filters import where_equal
 from larder.operators.scaling import keep_first, top_k
+from larder.session import cut_lineage
 
 GRAM = 3
+INLINE_SETS = 1_000
+ANY_TERM = 1_000  # variant number of the any-term fallback; real variants are 0, 1, 2
 
 
-def grams(text: Column, n) -> Column:
+def grams(text: Column, n: int) -> Column:
     """Distinct pieces of ``n`` characters."""
-    last = F.length(text) - n + 1
+    last = F.length(text) - (n - 1)
     cut = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
     return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
-def match_names(names: DataFrame, termsets: DataFrame) -> DataFrame:
-    """(termset_id, name) for all names that contain all terms of the set.
+def match_inline(names: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """Test each name against a bounded list of term sets held in the expression."""
+    if not sets:
+        return names.withColumn("terms", F.array().cast("array<string>")).where(F.lit(False))
+    listed = F.array(*[F.array(*[F.lit(t) for t in terms]) for terms in sets])
+    name = F.col("name")
+    hit = F.filter(listed, lambda terms: F.forall(terms, lambda t: name.contains(t)))
+    return names.withColumn("terms", F.explode(hit))
+
 
-    ``names`` has distinct ``name``; ``termsets`` has (termset_id, terms). Every
-    set is filed under one gram of its longest term, the one found in the fewest
-    names; terms shorter than three characters use pieces of their own length.
+def match_by_gram(names: DataFrame, sets: DataFrame) -> DataFrame:
+    """Join names and term sets on the gram of the set that the fewest names hold.
+
+    The gram comes from the longest term; shorter terms use pieces of their length.
     """
-    longest = F.array_sort(
-        F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
-    )
-    asked = termsets.select("termset_id", "terms", F.get(longest, 0)["t"].alias("anchor")).where(F.length("anchor") > 0)
-    asked = asked.withColumn("width", F.least(F.length("anchor"), F.lit(GRAM)))
-    by_gram = asked.select(
-        "termset_id", "width",
-        F.explode(
-            F.when(F.col("width") == 3, grams(F.col("anchor"), 3)).when(F.col("width") == 2, grams(F.col("anchor"), 2))
-            .otherwise(F.array("anchor"))
-        ).alias("gram"),
+    by_length = F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    anchor = F.get(by_length, 0)["t"]
+    piece = (
+        F.when(F.length(anchor) >= GRAM, grams(anchor, GRAM))
+        .when(F.length(anchor) == 2, grams(anchor, 2))
+        .otherwise(grams(anchor, 1))
     )
-    # pieces of a width are cut only when some set asks for that width: the filter on
-    # the wanted grams sits right on top of the explode
+    asked = cut_lineage(sets.select("terms", F.explode(piece).alias("gram")))
     pieces = names.select(
         "name", F.explode(F.concat(grams(F.col("name"), 3), grams(F.col("name"), 2), grams(F.col("name"), 1))).alias("gram")
     )
-    wanted = pieces.join(by_gram.select("gram").distinct(), "gram", "left_semi")
+    wanted = pieces.join(asked.select("gram").distinct(), "gram", "left_semi")
     frequency = wanted.groupBy("gram").count()
-    filed = keep_first(by_gram.join(frequency, "gram"), ["termset_id"], ["count", "gram"]).select("termset_id", "gram")
-    pairs = wanted.join(filed, "gram").join(asked.select("termset_id", "terms"), "termset_id")
-    return pairs.where(F.forall("terms", lambda t: F.col("name").contains(t))).select("termset_id", "name")
+    filed = keep_first(asked.join(frequency, "gram"), ["terms"], ["count", "gram"]).select("terms", "gram")
+    pairs = wanted.join(filed, "gram").where(F.forall("terms", lambda t: F.col("name").contains(t)))
+    return pairs.select("terms", "name").join(names, "name")
 
 
-def cheapest_matches(products: DataFrame, termsets: DataFrame, k: int, by=()) -> DataFrame:
-    """The ``k`` cheapest products of each term set (ties by id).
-
-    ``products`` needs id, price and match_key (the text searched in). ``by`` names
-    product columns that are filtered on later, kept apart in the pre-reduction.
-    """
-    per_name = top_k(products, ["match_key", *by], ["price", "id"], k)
-    names = products.select(F.col("match_key").alias("name")).distinct()
-    hits = match_names(names, termsets)
-    rows = hits.join(per_name, hits["name"] == per_name["match_key"]).drop(hits["name"])
-    return top_k(rows, ["termset_id", *by], ["price", "id"], k)
+def match_names(names: DataFrame, sets: DataFrame, inline: int = INLINE_SETS) -> DataFrame:
+    """Rows of ``names`` (distinct ``name`` plus payload) beside each set of ``terms`` they contain."""
+    few = sets.select("terms").limit(inline + 1).collect()  # bounded: the switch between the two ways
+    if len(few) <= inline:
+        return match_inline(names, [r["terms"] for r in few])
+    return match_by_gram(names, sets)
 
 
-def query_variants(queries: DataFrame) -> DataFrame:
-    """(qid, variant, terms): the term sets tried for each query, in order of trust."""
-    return queries.select("qid", F.posexplode(expand_query("q")).alias("variant", "terms"))
+def cheapest_matches(products: DataFrame, sets: DataFrame, k: int, inline: int = INLINE_SETS) -> DataFrame:
+    """The ``k`` cheapest products of each set of ``terms`` (ties by id).
 
+    ``products`` needs id, price and match_key, the text searched in.
+    """
+    row = F.struct(*[F.col(c) for c in products.columns if c != "match_key"])
+    names = (
+        top_k(products, ["match_key"], ["price", "id"], k)
+        .groupBy(F.col("match_key").alias("name"))
+        .agg(F.collect_list(row).alias("rows"))  # at most k rows
+    )
+    hits = match_names(names, sets, inline).select("terms", F.inline("rows"))
+    return top_k(hits, ["terms"], ["price", "id"], k)
 
-def with_match_key(products: DataFrame) -> DataFrame:
-    return products.withColumn("match_key", iota_canonical(F.lower("normalized_name")))
 
+def query_variants(queries: DataFrame) -> DataFrame:
+    """(qid, variant, terms): the term sets tried for each query, in order of trust.
 
-def _canonical_terms(variants: DataFrame) -> DataFrame:
-    """Distinct term sets behind the variants, so that a set asked often is matched once."""
-    return variants.withColumn("termset_id", F.transform("terms", lambda t: iota_canonical(t)))
+    The words as typed come once more, one by one, as the any-term fallback of
+    queries with several words.
+    """
+    tried = queries.select("qid", expand_query("q").alias("vs"))
+    typed = F.element_at("vs", -1)
+    alone = F.when(F.size(typed) > 1, F.transform(typed, lambda t: _variant(F.lit(ANY_TERM), typed, F.array(t))))
+    listed = F.transform("vs", lambda ts, i: _variant(i, ts, ts))
+    both = F.concat(listed, F.coalesce(alone, F.slice(listed, 1, 0)))
+    return tried.where(F.size("vs") > 0).select("qid", F.inline(both))
 
 
-def search_candidates(products: DataFrame, queries: DataFrame, per_variant: int = 100) -> DataFrame:
-    """Candidates of each query: 100 cheapest per variant, each product owned by its first variant."""
-    variants = _canonical_terms(query_variants(queries))
-    sets = variants.select("termset_id", F.col("termset_id").alias("terms")).distinct()
-    best = cheapest_matches(with_match_key(products), sets, per_variant)
-    owned = best.join(variants.select("qid", "variant", "terms", "termset_id"), "termset_id")
-    return keep_first(owned, ["qid", "id"], ["variant"]).drop("termset_id", "match_key")
+def _variant(number: Column, terms: Column, searched: Column) -> Column:
+    canonical = F.transform(searched, lambda t: iota_canonical(t))
+    return F.struct(number.alias("variant"), terms.alias("terms"), canonical.alias("searched"))
 
 
-def fallback_candidates(products: DataFrame, queries: DataFrame, found: DataFrame, limit: int = 100) -> DataFrame:
-    """Any-term candidates for queries of several words that found nothing."""
-    typed = query_variants(queries).groupBy("qid").agg(F.max_by("terms", "variant").alias("terms"))
-    missed = typed.where(F.size("terms") > 1).join(found.select("qid").distinct(), "qid", "left_anti")
-    single = missed.select("qid", "terms", F.explode("terms").alias("t")).withColumn("termset_id", F.array(iota_canonical(F.col("t"))))
-    sets = single.select("termset_id", F.col("termset_id").alias("terms")).distinct()
-    best = cheapest_matches(with_match_key(products), sets, limit).drop("match_key")
-    rows = best.join(single.select("qid", "terms", "termset_id"), "termset_id").drop("termset_id")
-    once = keep_first(rows, ["qid", "id"], ["price"])
-    return top_k(once, ["qid"], ["price", "id"], limit).withColumn("variant", F.lit(-1))
+def with_match_key(products: DataFrame) -> DataFrame:
+    return products.withColumn("match_key", iota_canonical(F.lower("normalized_name")))
 
 
-def all_candidates(products: DataFrame, queries: DataFrame) -> DataFrame:
-    found = search_candidates(products, queries)
-    rest = fallback_candidates(products, queries, found)
-    return found.unionByName(rest, allowMissingColumns=True)
+def candidates(products: DataFrame, queries: DataFrame, limit: int = 100, inline: int = INLINE_SETS) -> DataFrame:
+    """Candidates of every query: the ``limit`` cheapest per variant, each product owned by
+    its first variant; any-term matches only where no variant found a product."""
+    variants = query_variants(queries)
+    sets = variants.select(F.col("searched").alias("terms")).distinct()
+    best = cheapest_matches(with_match_key(products), sets, limit, inline).withColumnRenamed("terms", "searched")
+    owned = keep_first(best.join(variants, "searched"), ["qid", "id"], ["variant"]).drop("searched")
+    per_query = Window.partitionBy("qid")
+    fallback = F.col("variant") == ANY_TERM
+    place = F.row_number().over(per_query.orderBy(fallback, "price", "id"))
+    return (
+        owned.withColumn("__found", F.max(~fallback).over(per_query))
+        .withColumn("__place", place)
+        .where(~fallback | (~F.col("__found") & (F.col("__place") <= limit)))
+        .drop("__found", "__place")
+    )
 
 
-def ranked(candidates: DataFrame, floor: int = 10) -> DataFrame:
+def ranked(pool: DataFrame, floor: int = 10) -> DataFrame:
     """Score of each candidate; only scores above ``floor`` stay."""
-    return candidates.withColumn("score", multi_word_score("name", F.col("terms"))).where(F.col("score") > floor)
+    return pool.withColumn("score", multi_word_score("name", F.col("terms"))).where(F.col("score") > floor)
 
 
 def dedupe_lowest_price(scored: DataFrame, k: int = 40) -> DataFrame:
@@ -125,8 +143,7 @@ def dedupe_lowest_price(scored: DataFrame, k: int = 40) -> DataFrame:
     pair = ["qid", "name", "supermarket"]
     place = F.struct((-F.col("score")).alias("s"), F.col("price").alias("p"), F.col("id").alias("i"))
     cheapest = F.struct(F.col("price").alias("p"), place.alias("r"))
-    payload = F.struct("id", "price", "score")
-    kept = scored.groupBy(*pair).agg(F.min(place).alias("place"), F.min_by(payload, cheapest).alias("row"))
+    kept = scored.groupBy(*pair).agg(F.min(place).alias("place"), F.min_by(F.struct("id", "price"), cheapest).alias("row"))
     out = top_k(kept, ["qid"], ["place"], k, rank="rank")
     return out.select("qid", "rank", "row.id", "name", "supermarket", "row.price")
 
@@ -134,7 +151,7 @@ def dedupe_lowest_price(scored: DataFrame, k: int = 40) -> DataFrame:
 def search(products: DataFrame, queries: DataFrame, store: str | None = None, k: int = 40) -> DataFrame:
     """Ranked product search for a whole table of queries."""
     pool = where_equal(products, supermarket=store)
-    return dedupe_lowest_price(ranked(all_candidates(pool, queries)), k)
+    return dedupe_lowest_price(ranked(candidates(pool, queries)), k)
 
 
 def substitutes(products: DataFrame, pool: int = 30, considered: int = 6, shown: int = 3) -> DataFrame:
@@ -145,11 +162,11 @@ def substitutes(products: DataFrame, pool: int = 30, considered: int = 6, shown:
     """
     keyed = products.withColumn("word", substitute_norm("name"))
     words = keyed.select("word").where(F.length("word") > 0).distinct()
-    sets = words.select(F.array("word").alias("termset_id"), F.array("word").alias("terms"))
+    sets = words.select(F.array("word").alias("terms"))
     item = F.struct("price", "id", "name", "supermarket")
     pools = (
         cheapest_matches(products.withColumn("match_key", F.lower("normalized_name")), sets, pool)
-        .groupBy(F.element_at("termset_id", 1).alias("word"))
+        .groupBy(F.element_at("terms", 1).alias("word"))
         .agg(F.array_sort(F.collect_list(item)).alias("pool"))
     )
 

@@ -28,7 +28,7 @@ CANDIDATES = VARIANTS + """,
   found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY variant) AS own FROM hits WHERE rn <= 100) WHERE own = 1)"""
 FALLBACK = CANDIDATES + """,
   missed AS (SELECT qid, terms FROM variants WHERE variant = 1 AND len(terms) > 1 AND qid NOT IN (SELECT qid FROM found)),
-  extra AS (SELECT m.qid, -1 AS variant, m.terms, p.*, row_number() OVER (PARTITION BY m.qid ORDER BY p.price, p.id) AS rn
+  extra AS (SELECT m.qid, 1000 AS variant, m.terms, p.*, row_number() OVER (PARTITION BY m.qid ORDER BY p.price, p.id) AS rn
     FROM missed m JOIN v_products p ON len([t FOR t IN m.terms IF contains(p.normalized_name, t)]) > 0),
   pool AS (SELECT qid, variant, terms, id, name, supermarket, price FROM found
     UNION ALL SELECT qid, variant, terms, id, name, supermarket, price FROM extra WHERE rn <= 100)"""
@@ -52,30 +52,30 @@ def parts(spark, d):
 
 @query("join_query_product", f"WITH {CANDIDATES} SELECT qid, variant, id, price FROM found", V)
 def join_query_product(spark, d):
-    return search.search_candidates(*parts(spark, d)).select("qid", "variant", "id", "price")
+    c = search.candidates(*parts(spark, d))
+    return c.where(F.col("variant") < search.ANY_TERM).select("qid", "variant", "id", "price")
 
 
 @query("filter_any_term", f"WITH {FALLBACK} SELECT qid, id, price FROM extra WHERE rn <= 100", V)
 def filter_any_term(spark, d):
-    products, queries = parts(spark, d)
-    found = search.search_candidates(products, queries)
-    return search.fallback_candidates(products, queries, found).select("qid", "id", "price")
+    c = search.candidates(*parts(spark, d))
+    return c.where(F.col("variant") == search.ANY_TERM).select("qid", "id", "price")
 
 
 @query("union_first_seen", f"WITH {FALLBACK} SELECT qid, id, variant FROM pool", V)
 def union_first_seen(spark, d):
-    return search.all_candidates(*parts(spark, d)).select("qid", "id", "variant")
+    return search.candidates(*parts(spark, d)).select("qid", "id", "variant")
 
 
 @query("multi_word_score", f"WITH {SCORED} SELECT qid, id, score FROM scored", V)
 def multi_word_score(spark, d):
-    c = search.all_candidates(*parts(spark, d))
+    c = search.candidates(*parts(spark, d))
     return c.select("qid", "id", fs.multi_word_score("name", F.col("terms")).alias("score"))
 
 
 @query("topk_search_rank", f"WITH {SCORED} SELECT qid, place AS rank, id, score, price FROM ranked WHERE place <= 40", V)
 def topk_search_rank(spark, d):
-    scored = search.ranked(search.all_candidates(*parts(spark, d)))
+    scored = search.ranked(search.candidates(*parts(spark, d)))
     return top_k(scored, ["qid"], [F.desc("score"), "price", "id"], 40, rank="rank").select("qid", "rank", "id", "score", "price")
 
 

@@ -55,7 +55,8 @@ SEARCH_TERMS = [
 
 def search_queries(spark) -> DataFrame:
     """The query set searched for; in production a table of user queries."""
-    return spark.createDataFrame(SEARCH_TERMS, "qid int, q string")
+    rows = ", ".join(f"({i}, '{q}')" for i, q in SEARCH_TERMS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(qid, q)")
 
 
 def recipes(spark, sf_dir) -> DataFrame:
