@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "filters", "search"]
+MODULES = ["scans", "filters", "search", "mealplans"]
 
 
 def load_all():
