@@ -10,6 +10,7 @@ from larder.functions import numbers as nm
 from larder.functions.text import clean_ingredient_name, extract_grams, norm_text, strip_quantity, words
 from larder.operators.scaling import keep_first
 from larder.operators.search import cheapest_matches
+from larder.session import cut_lineage
 
 
 def ingredient_totals(lines: DataFrame, summary: DataFrame, plan: str = "plan_id") -> DataFrame:
@@ -18,15 +19,15 @@ def ingredient_totals(lines: DataFrame, summary: DataFrame, plan: str = "plan_id
     ``lines`` has plan, raw; ``summary`` has plan, ingredient. The raw lines stay
     rows (count and first are reported); a popular ingredient is never gathered.
     """
-    keyed = lines.select(plan, clean_ingredient_name("raw").alias("ingredient"), extract_grams("raw").alias("grams"), "raw")
-    listed = keyed.groupBy(plan, "ingredient").agg(
-        F.coalesce(F.sum("grams"), F.lit(0)).alias("total_grams"), F.count("*").alias("n_lines"), F.min("raw").alias("first_raw")
+    listed = lines.select(
+        plan, clean_ingredient_name("raw").alias("ingredient"), extract_grams("raw").alias("grams"), "raw", F.lit(1).alias("line")
     )
-    extra = summary.select(plan, F.lower(F.trim("ingredient")).alias("ingredient")).distinct()
-    extra = extra.join(listed.select(plan, "ingredient"), [plan, "ingredient"], "left_anti")
-    return listed.unionByName(
-        extra.select(plan, "ingredient", F.lit(0).cast("bigint").alias("total_grams"), F.lit(0).cast("bigint").alias("n_lines"),
-                     F.col("ingredient").alias("first_raw"))
+    extra = summary.select(plan, F.lower(F.trim("ingredient")).alias("ingredient"))
+    both = listed.unionByName(extra, allowMissingColumns=True)  # one aggregation serves both
+    return both.groupBy(plan, "ingredient").agg(
+        F.coalesce(F.sum("grams"), F.lit(0)).alias("total_grams"),
+        F.count("line").alias("n_lines"),
+        F.coalesce(F.min("raw"), F.col("ingredient")).alias("first_raw"),
     )
 
 
@@ -48,6 +49,7 @@ def best_prices(ingredients: DataFrame, products: DataFrame) -> DataFrame:
     reduced to its one cheapest product before it is joined back.
     """
     asked = ingredients.select("ingredient").distinct().select("ingredient", F.inline(_tiers(F.col("ingredient"))))
+    asked = cut_lineage(asked)  # read by the matching and again by the join back
     pool = products.where("price > 0").withColumn("match_key", F.lower("normalized_name"))
     best = cheapest_matches(pool, asked.select("terms").distinct(), 1)
     unit = F.col("price_per_unit") if "price_per_unit" in products.columns else F.lit(None).cast("string")
@@ -71,6 +73,12 @@ def shopping_list(totals: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def price_plans(lines: DataFrame, summary: DataFrame, products: DataFrame) -> DataFrame:
+    """Shopping lists of all plans, from ingredient lines to costs."""
+    totals = cut_lineage(ingredient_totals(lines, summary))  # the ingredients to price, and the rows to cost
+    return shopping_list(totals, best_prices(totals, products))
+
+
 def shopping_stats(shopping: DataFrame, plan: str = "plan_id") -> DataFrame:
     """Totals per plan; coverage is null for a plan without ingredients."""
     cents = F.sum(F.when(F.col("found"), F.coalesce("cost", F.lit(0.0)).cast("decimal(18,2)"))).cast("double")

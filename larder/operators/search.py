@@ -14,6 +14,8 @@ ways, chosen by counting them (never a cross join):
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def match_inline(names: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Test each name against a bounded list of term sets held in the expression."""
     if not sets:
         return names.withColumn("terms", F.array().cast("array<string>")).where(F.lit(False))
-    listed = F.array(*[F.array(*[F.lit(t) for t in terms]) for terms in sets])
+    listed = F.from_json(F.lit(json.dumps(sets)), "array<array<string>>")  # folded to a constant
     name = F.col("name")
     hit = F.filter(listed, lambda terms: F.forall(terms, lambda t: name.contains(t)))
     return names.withColumn("terms", F.explode(hit))

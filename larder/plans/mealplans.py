@@ -35,28 +35,27 @@ SHOPPING = PRICES + """,
 V = ("v_ingredients", "v_products")
 
 
-def plan_totals(spark, d):
+def plan_inputs(spark, d):
     lines = tables.ingredients(spark, d).where((F.col("plan_id") % 7 != 3) | ~F.col("raw").contains("red"))
     part, k = tables.table(spark, d, "part"), F.col("p_partkey")
     suffix = F.when(k % 4 == 0, " fresh").when(k % 4 == 1, " zzz qqq").otherwise("")
     summary = part.select((k % 50).alias("plan_id"), F.concat(F.lower("p_name"), suffix).alias("ingredient")).unionByName(
         part.where("p_partkey % 9 = 0").select((k % 50).alias("plan_id"), F.concat(F.lit("fresh "), F.lower("p_name")).alias("ingredient")))
-    return mealplan.ingredient_totals(lines, summary)
+    return lines, summary
 
 
 def priced_list(spark, d):
-    totals = plan_totals(spark, d)
-    return mealplan.shopping_list(totals, mealplan.best_prices(totals, tables.products(spark, d)))
+    return mealplan.price_plans(*plan_inputs(spark, d), tables.products(spark, d))
 
 
 @query("agg_ingredient_totals", f"WITH {TOTALS} SELECT * FROM totals", V)
 def agg_ingredient_totals(spark, d):
-    return plan_totals(spark, d)
+    return mealplan.ingredient_totals(*plan_inputs(spark, d))
 
 
 @query("join_tiered_price", f"WITH {PRICES} SELECT ingredient, tier, product_id, price, store FROM prices", V)
 def join_tiered_price(spark, d):
-    prices = mealplan.best_prices(plan_totals(spark, d), tables.products(spark, d))
+    prices = mealplan.best_prices(mealplan.ingredient_totals(*plan_inputs(spark, d)), tables.products(spark, d))
     return prices.select("ingredient", "tier", "product_id", "price", "store")
 
 

@@ -60,8 +60,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint of an iterative result (survives lost executors)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared folder and read it back.
+
+    The rows are computed exactly once, survive lost executors, and the files carry
+    the sizes that Spark needs to choose its joins.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
