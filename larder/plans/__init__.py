@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "filters", "search", "mealplans"]
+MODULES = ["scans", "filters", "search", "mealplans", "joins", "aggregates"]
 
 
 def load_all():
