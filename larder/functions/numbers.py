@@ -136,3 +136,11 @@ def reconcile(stated, computed) -> Column:
 def health_score(x) -> Column:
     i = F.regexp_extract(_c(x).cast("string"), "^\\s*([+-]?\\d+)", 1).try_cast("int")
     return F.when(i.between(1, 10), i).otherwise(5)
+
+
+def sale_price_rule(start, discounted) -> Column:
+    """struct(price, old_price, is_on_sale) of a store that shows a start and maybe a discounted price."""
+    s, d = _c(start), _c(discounted)
+    return F.struct(
+        F.coalesce(d, s).alias("price"), F.when(d.isNotNull(), s).alias("old_price"), d.isNotNull().alias("is_on_sale")
+    )
