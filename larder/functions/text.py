@@ -209,9 +209,12 @@ def section_split(x) -> Column:
 
 def sentence_chunks(x, limit: int = 450) -> Column:
     """Sentences packed greedily into chunks of at most ``limit`` characters."""
-    c = _c(x)
-    found = F.regexp_extract_all(c, F.lit("[^.!?\\n]+[.!?\\n]+"), F.lit(0))
-    sentences = F.when(F.size(found) > 0, found).otherwise(F.array(c))
+    # cut between an end mark and the next text: linear, where matching whole sentences
+    # would rescan a long tail that has no end mark from every position
+    marks = [".", "!", "?", "\n"]
+    pieces = F.split(_c(x), "(?<=[.!?\\n])(?=[^.!?\\n])", -1)
+    whole = lambda p: F.right(p, F.lit(1)).isin(marks) & ~F.left(p, F.lit(1)).isin(marks)
+    sentences = let(F.filter(pieces, whole), lambda ss: F.when(F.size(ss) > 0, ss).otherwise(F.array(_c(x))))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def step(acc, s):
