@@ -34,7 +34,11 @@ def products(spark, sf_dir) -> DataFrame:
 
 def offers(spark, sf_dir) -> DataFrame:
     """Price observations; ``pos`` is the total order of observation."""
-    return table(spark, sf_dir, "lineitem").select(
+    return offers_of(table(spark, sf_dir, "lineitem"))
+
+
+def offers_of(line: DataFrame) -> DataFrame:
+    return line.select(
         F.struct(*LINE_ORDER).alias("pos"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_partkey").alias("product_id"),

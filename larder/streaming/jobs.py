@@ -133,3 +133,142 @@ def rate_limited(hits: DataFrame, limit: int, window_seconds: int, key: str = "u
         outputStructType=StructType([StructField("event_id", LongType()), StructField("admitted", BooleanType())]),
         outputMode="append", timeMode="none",
     )
+
+
+# --- rooms -------------------------------------------------------------------------
+
+class RoomSet(StatefulProcessor):
+    """Rooms of a socket: joins are emitted once, a disconnect leaves every room."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rooms = handle.getMapState(
+            "rooms", StructType([StructField("room", StringType())]), StructType([StructField("since", LongType())])
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for action, room, t in pd.concat(list(rows)).sort_values(["t", "event_id"])[["action", "room", "t"]].itertuples(index=False):
+            if action == "disconnect":
+                out += [(key[0], r[0], -1) for r in self.rooms.keys()]
+                self.rooms.clear()
+            elif not self.rooms.containsKey((room,)):
+                self.rooms.updateValue((room,), (int(t),))
+                out.append((key[0], room, 1))
+        yield pd.DataFrame(out, columns=["socket", "room", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+def room_changes(actions: DataFrame) -> DataFrame:
+    """(socket, room, +1 or -1) from a stream of (socket, event_id, t, action, room)."""
+    return actions.groupBy("socket").transformWithStateInPandas(
+        statefulProcessor=RoomSet(),
+        outputStructType=StructType(
+            [StructField("socket", LongType()), StructField("room", StringType()), StructField("change", LongType())]
+        ),
+        outputMode="append", timeMode="none",
+    )
+
+
+# --- message life time -----------------------------------------------------------------
+
+class LiveMessages(StatefulProcessor):
+    """Keeps message ids of a room; the store drops each of them after ``hours``."""
+
+    def __init__(self, hours: int = 24):
+        self.hours = hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState(
+            "live", StructType([StructField("id", LongType())]), StructType([StructField("seen", BooleanType())]),
+            ttlDurationMs=self.hours * 3_600_000,
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:  # nothing is gathered: each message is stored and passed on
+            for ident in chunk["event_id"]:
+                self.live.updateValue((int(ident),), (True,))
+            yield pd.DataFrame({"room": [key[0]] * len(chunk), "event_id": chunk["event_id"].to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
+def live_messages(messages: DataFrame, hours: int = 24) -> DataFrame:
+    return messages.groupBy("room").transformWithStateInPandas(
+        statefulProcessor=LiveMessages(hours),
+        outputStructType=StructType([StructField("room", LongType()), StructField("event_id", LongType())]),
+        outputMode="append", timeMode="processingTime",
+    )
+
+
+# --- subscriptions ----------------------------------------------------------------------
+
+class Subscription(StatefulProcessor):
+    """Folds payment events of a user: completed sets the plan, deleted clears it when the
+    subscription id is the stored one, failed changes nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "plan", StructType([StructField("plan", StringType()), StructField("subscription", StringType())])
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        plan, subscription = self.state.get() or (None, None)
+        last, touched = None, False
+        events = pd.concat(list(rows)).sort_values(["t", "event_id"])
+        for kind, new_plan, sub, t in events[["kind", "plan", "subscription", "t"]].itertuples(index=False):
+            if kind == "completed":
+                plan, subscription, touched = new_plan, sub, True
+            elif kind == "deleted" and subscription == sub:
+                plan, subscription, touched = None, None, True
+            last = t
+        self.state.update((plan, subscription))
+        if touched:
+            yield pd.DataFrame({"user_id": [key[0]], "is_premium": [plan is not None], "premium_type": [plan], "t": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def subscription_states(events: DataFrame) -> DataFrame:
+    """Current state of each user touched by a batch; the row with the latest ``t`` is current."""
+    return events.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Subscription(),
+        outputStructType=StructType([
+            StructField("user_id", LongType()), StructField("is_premium", BooleanType()),
+            StructField("premium_type", StringType()), StructField("t", LongType()),
+        ]),
+        outputMode="append", timeMode="none",
+    )
+
+
+# --- tables fed by streams ------------------------------------------------------------------
+
+def first_seen(stream: DataFrame, key: str, ts: str, within: str) -> DataFrame:
+    """First occurrence of each key; keys are remembered for ``within`` of event time."""
+    timed = stream.select(key, F.col(ts).cast(TimestampType()).alias("__at")).withWatermark("__at", within)
+    return timed.dropDuplicatesWithinWatermark([key]).select(key)
+
+
+def upsert_stream(stream: DataFrame, keys: list[str], order, base: DataFrame) -> DataFrame:
+    """Upsert a stream into ``base``: each batch is reduced to one row per key and written to
+    a change folder of its own, named by the batch, so a repeated batch replaces itself.
+
+    A batch writes only its own rows; the table is the base merged with the changes on
+    read, and can be written out as a new base at any time.
+    """
+    from larder.operators.catalog import upsert
+    from larder.operators.scaling import as_cols, keep_first
+
+    spark = stream.sparkSession
+    changes = scratch_path(spark, "changes")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        last = keep_first(batch, keys, [c.desc() for c in as_cols(order)])
+        last.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
+
+    run_foreach_batch(stream, "upsert", handle)
+    stored = spark.read.parquet(changes)
+    return upsert(base, stored, keys, ["batch", *order])
