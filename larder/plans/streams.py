@@ -69,12 +69,15 @@ def stream_room_membership(spark, d):
     return changes.groupBy("socket", "room").agg(F.sum("change").alias("n")).where("n > 0").select("socket", "room")
 
 
-@query("stream_ttl_expiry", "SELECT user_id % 40 AS room, event_id FROM events")
+@query("stream_ttl_expiry", """
+    SELECT user_id % 40 AS room, event_id FROM events WHERE epoch_ms(ts) + 86400000 < (SELECT max(epoch_ms(ts)) FROM events)""")
 def stream_ttl_expiry(spark, d):
-    """Messages held in state that the store drops 24 h after they were put there."""
-    m = jobs.read_events(spark, d).select((F.col("user_id") % 40).alias("room"), "event_id")
+    """Messages given up by the state 24 h of event time after they were sent."""
+    us = epoch_micros("ts")
+    m = jobs.read_events(spark, d).select(
+        (F.col("user_id") % 40).alias("room"), "event_id", F.timestamp_micros(us).alias("at"), F.floor(us / 1000).alias("ms"))
     with jobs.state_store(spark):
-        return jobs.run_to_table(jobs.live_messages(m), "live")
+        return jobs.run_to_table(jobs.expired_messages(m.withWatermark("at", "0 seconds")), "expired")
 
 
 RATE_SQL = """WITH RECURSIVE c AS (SELECT * FROM (VALUES {0}) v(name, lim, width)),

@@ -7,6 +7,7 @@ folder. ``trigger(availableNow=True)`` turns the same job into a catch-up batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql.types import (
     BooleanType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
+from larder.operators.catalog import upsert
+from larder.operators.scaling import as_cols, keep_first
 from larder.session import ROCKSDB_PROVIDER, scratch_path
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -54,21 +57,28 @@ def run_foreach_batch(stream: DataFrame, label: str, handle) -> None:
     query.awaitTermination()
 
 
-class state_store:
-    """Use the RocksDB state store while a stateful job starts, then restore the setting."""
+@contextmanager
+def state_store(spark: SparkSession):
+    """Settings a stateful job fixes when it starts, put back afterwards.
 
-    def __init__(self, spark):
-        self.spark, self.key = spark, "spark.sql.streaming.stateStore.providerClass"
-
-    def __enter__(self):
-        self.before = self.spark.conf.get(self.key, None)
-        self.spark.conf.set(self.key, ROCKSDB_PROVIDER)
-
-    def __exit__(self, *exc):
-        if self.before is None:
-            self.spark.conf.unset(self.key)
-        else:
-            self.spark.conf.set(self.key, self.before)
+    State lives in RocksDB. Its partition count is fixed for the life of the job; it
+    is the session's shuffle setting, but no more than two per core, since every
+    partition keeps a store of its own.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        "spark.sql.shuffle.partitions": str(
+            min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        ),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 # --- stateless fan-out --------------------------------------------------------
@@ -173,33 +183,48 @@ def room_changes(actions: DataFrame) -> DataFrame:
 
 # --- message life time -----------------------------------------------------------------
 
-class LiveMessages(StatefulProcessor):
-    """Keeps message ids of a room; the store drops each of them after ``hours``."""
+class ExpiringMessages(StatefulProcessor):
+    """Holds message ids of a room and gives each up ``hours`` after its own time.
+
+    Ids are filed by the millisecond they run out, one timer each, so nothing is
+    scanned when a timer fires.
+    """
 
     def __init__(self, hours: int = 24):
-        self.hours = hours
+        self.life_ms = hours * 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState(
-            "live", StructType([StructField("id", LongType())]), StructType([StructField("seen", BooleanType())]),
-            ttlDurationMs=self.hours * 3_600_000,
+        self.handle = handle
+        self.due = handle.getMapState(
+            "due", StructType([StructField("at", LongType())]), StructType([StructField("ids", StringType())])
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for chunk in rows:  # nothing is gathered: each message is stored and passed on
-            for ident in chunk["event_id"]:
-                self.live.updateValue((int(ident),), (True,))
-            yield pd.DataFrame({"room": [key[0]] * len(chunk), "event_id": chunk["event_id"].to_numpy()})
+        for chunk in rows:
+            for at, ids in chunk.groupby(chunk["ms"] + self.life_ms)["event_id"]:
+                held = self.due.getValue((int(at),)) if self.due.containsKey((int(at),)) else None
+                listed = ([held[0]] if held else []) + [str(i) for i in ids]
+                self.due.updateValue((int(at),), (",".join(listed),))
+                self.handle.registerTimer(int(at))
+        yield pd.DataFrame({"room": [], "event_id": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (int(expiredTimerInfo.getExpiryTimeInMs()),)
+        ids = [int(i) for i in self.due.getValue(at)[0].split(",")]
+        self.due.removeKey(at)
+        yield pd.DataFrame({"room": [key[0]] * len(ids), "event_id": ids})
 
     def close(self) -> None:
         pass
 
 
-def live_messages(messages: DataFrame, hours: int = 24) -> DataFrame:
+def expired_messages(messages: DataFrame, hours: int = 24) -> DataFrame:
+    """(room, event_id) of messages whose life has run out; ``messages`` has room, event_id, ms
+    and a watermarked event-time column."""
     return messages.groupBy("room").transformWithStateInPandas(
-        statefulProcessor=LiveMessages(hours),
+        statefulProcessor=ExpiringMessages(hours),
         outputStructType=StructType([StructField("room", LongType()), StructField("event_id", LongType())]),
-        outputMode="append", timeMode="processingTime",
+        outputMode="append", timeMode="eventTime",
     )
 
 
@@ -259,9 +284,6 @@ def upsert_stream(stream: DataFrame, keys: list[str], order, base: DataFrame) ->
     A batch writes only its own rows; the table is the base merged with the changes on
     read, and can be written out as a new base at any time.
     """
-    from larder.operators.catalog import upsert
-    from larder.operators.scaling import as_cols, keep_first
-
     spark = stream.sparkSession
     changes = scratch_path(spark, "changes")
 
