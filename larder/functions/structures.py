@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed_values as fv
 from larder.functions.numbers import falsy_to_null, health_score, num_or_zero
-from larder.functions.text import clean_text, js_trim, strip_packaging_words, norm_text
+from larder.functions.text import clean_text, js_trim, let, norm_text, strip_packaging_words
 
 
 def _c(x) -> Column:
@@ -26,21 +26,16 @@ RECIPE_FIELDS = """name STRING, description STRING, image STRING, recipeYield ST
 
 def jsonld_recipe(html) -> Column:
     """The first JSON-LD block that is a Recipe, else the first inside a @graph, as raw JSON."""
-    bodies = F.regexp_extract_all(_c(html), F.lit(JSONLD), F.lit(1))
-    typed = F.transform(
-        bodies, lambda b: F.struct(F.get_json_object(b, "$['@type']").alias("t"), b.alias("b"))
-    )
-    direct = F.filter(typed, lambda s: s["t"] == "Recipe")
-    nodes = F.flatten(
-        F.transform(
-            bodies,
-            lambda b: F.coalesce(
-                F.from_json(F.get_json_object(b, "$['@graph']"), "array<string>"), F.array().cast("array<string>")
-            ),
+    is_recipe = lambda b: F.get_json_object(b, "$['@type']") == "Recipe"
+    none = F.array().cast("array<string>")
+
+    def pick(bodies):
+        nodes = F.flatten(
+            F.transform(bodies, lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$['@graph']"), "array<string>"), none))
         )
-    )
-    in_graph = F.filter(nodes, lambda n: F.get_json_object(n, "$['@type']") == "Recipe")
-    return F.coalesce(F.get(direct, 0)["b"], F.get(in_graph, 0))
+        return F.coalesce(F.get(F.filter(bodies, is_recipe), 0), F.get(F.filter(nodes, is_recipe), 0))
+
+    return let(F.regexp_extract_all(_c(html), F.lit(JSONLD), F.lit(1)), pick)
 
 
 def jsonld_fields(body) -> Column:

@@ -40,8 +40,10 @@ def js_trim(x) -> Column:
 
 
 def strip_accents(x) -> Column:
+    """Accents and marks removed; plain ASCII text skips the character table."""
+    c = _c(x)
     # marks listed after the letters have no counterpart, so translate drops them
-    return F.translate(_c(x), ACCENTED + MARKS, PLAIN)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), F.translate(c, ACCENTED + MARKS, PLAIN)).otherwise(c)
 
 
 def norm_text(x) -> Column:
@@ -113,46 +115,46 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def is_all_caps(x) -> Column:
-    """At least six capitals and no small letter."""
-    return clean_html(x).rlike("^(?=(?:[^A-ZΑ-Ω]*[A-ZΑ-Ω]){6})[^a-zα-ω]*$")
+ALL_CAPS = "^(?=(?:[^A-ZΑ-Ω]*[A-ZΑ-Ω]){6})[^a-zα-ω]*$"  # six capitals or more, no small letter
+NOISE = "^$|^(bio\\s+προτεινομενα|απο\\s+\\d+)|" + "|".join(fv.NOISE_PHRASES)
+NOISE_RAW = "€|\\$\\d|(?i:gymbeam)"
+WORD_END = "([^\\p{L}\\p{N}_]|$)"
+SECTION = (
+    f"^για\\s+(τη|την|το|τον){WORD_END}|θα\\s+χρειαστουμε[\\s:.]*$"
+    f"|^(υλικα|συστατικα|εκτελεση|οδηγιες|παρασκευη|σερβιρισμα){WORD_END}"
+)
 
 
 def is_noise_line(x) -> Column:
     """Empty, marketing, price or all-capitals line."""
     c = _c(x)
-    noise = "^$|^(bio\\s+προτεινομενα|απο\\s+\\d+)|" + "|".join(fv.NOISE_PHRASES)
-    return norm_line(c).rlike(noise) | c.rlike("€|\\$\\d|(?i:gymbeam)") | is_all_caps(c)
+    return norm_line(c).rlike(NOISE) | c.rlike(NOISE_RAW) | clean_html(c).rlike(ALL_CAPS)
 
 
 def is_section_line(x) -> Column:
     """Heading of an ingredient or instruction section."""
-    line = js_trim(F.regexp_replace(norm_line(x), "[:.]+$", ""))
-    end = "([^\\p{L}\\p{N}_]|$)"
-    return line.rlike(
-        f"^για\\s+(τη|την|το|τον){end}|θα\\s+χρειαστουμε\\s*$"
-        f"|^(υλικα|συστατικα|εκτελεση|οδηγιες|παρασκευη|σερβιρισμα){end}"
-    )
+    return norm_line(x).rlike(SECTION)
 
 
-def dedupe_lines(lines) -> Column:
-    """Drop blank and repeated lines, first kept, order kept.
+def _first_of_each_key(rows: Column) -> Column:
+    """Texts ``v`` of structs (k, i, v), one per key, in the order of ``i``.
 
-    Sorts by (key, position), marks the first of each key, and sorts back, so a
-    long text costs n log n and each line is normalised once.
+    Sorts by (key, position), keeps the first of each key, and sorts back, so a long
+    text costs n log n.
     """
-    keyed = F.transform(_c(lines), lambda x, i: F.struct(norm_line(x).alias("k"), i.alias("i"), x.alias("v")))
-    in_key_order = F.array_sort(F.filter(keyed, lambda s: s["k"] != ""))
 
-    def firsts(rows):
-        new_key = lambda s, j: (j == 0) | (F.get(rows, j - 1)["k"] != s["k"])
-        kept = F.filter(rows, new_key)
-        return F.transform(
-            F.array_sort(F.transform(kept, lambda s: F.struct(s["i"].alias("i"), s["v"].alias("v")))),
-            lambda s: s["v"],
-        )
+    def firsts(ordered):
+        new_key = lambda s, j: (j == 0) | (F.get(ordered, j - 1)["k"] != s["k"])
+        kept = F.transform(F.filter(ordered, new_key), lambda s: F.struct(s["i"].alias("i"), s["v"].alias("v")))
+        return F.transform(F.array_sort(kept), lambda s: s["v"])
 
-    return let(in_key_order, firsts)
+    return let(F.array_sort(rows), firsts)
+
+
+def dedupe_lines(lines) -> Column:
+    """Drop blank and repeated lines by their normalised form, first kept, order kept."""
+    keyed = F.transform(_c(lines), lambda x, i: F.struct(norm_line(x).alias("k"), i.alias("i"), x.alias("v")))
+    return _first_of_each_key(F.filter(keyed, lambda s: s["k"] != ""))
 
 
 def strip_bullet(x) -> Column:
@@ -168,12 +170,27 @@ def strip_step_prefix(x) -> Column:
 
 
 def sanitize_lines(lines, instructions: bool = False) -> Column:
-    cleaned = F.transform(_c(lines), lambda x: strip_bullet(clean_html(x)))
-    length_ok = (
-        (lambda x: F.length(x) >= 10) if instructions else (lambda x: F.length(x).between(2, 140))
+    """Lines without bullets, noise, headings, odd lengths and repeats.
+
+    Each line is cleaned and normalised once; the tests share the results.
+    """
+    length_ok = (lambda v: F.length(v) >= 10) if instructions else (lambda v: F.length(v).between(2, 140))
+
+    def judge(v, i):
+        def with_clean(c):
+            def with_key(k):
+                keep = (v != "") & length_ok(v) & ~v.rlike(NOISE_RAW) & ~c.rlike(ALL_CAPS) & ~k.rlike(NOISE) & ~k.rlike(SECTION)
+                return F.struct(keep.alias("keep"), k.alias("k"), i.alias("i"), v.alias("v"))
+
+            return let(norm_text(c), with_key)
+
+        return let(clean_html(v), with_clean)
+
+    plain = F.transform(_c(lines), lambda x: strip_bullet(clean_html(x)))
+    judged = F.filter(F.transform(plain, judge), lambda s: s["keep"] & (s["k"] != ""))
+    return _first_of_each_key(
+        F.transform(judged, lambda s: F.struct(s["k"].alias("k"), s["i"].alias("i"), s["v"].alias("v")))
     )
-    kept = F.filter(cleaned, lambda x: (x != "") & ~is_noise_line(x) & ~is_section_line(x) & length_ok(x))
-    return dedupe_lines(kept)
 
 
 SENTENCE_BREAK = "(?<=[.!?])\\s+(?=[A-ZΑ-Ω])"

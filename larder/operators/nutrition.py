@@ -45,8 +45,9 @@ def merge_foods(foods: DataFrame, scan: str = "scan_id", pos: str = "pos") -> Da
     f = foods.withColumn("name", clean_text("name", fv.UNKNOWN_FOOD)).withColumn(
         "portion", clean_text("portion", fv.NO_PORTION)
     )
-    for c in MACROS:
-        f = f.withColumn(c, nm.int_prefix(F.col(c).cast("string")))
+    is_text = {name for name, kind in foods.dtypes if kind == "string"}
+    whole = lambda c: nm.int_prefix(c) if c in is_text else F.greatest(nm.num_or_zero(c).cast("bigint"), F.lit(0))
+    f = f.withColumns({c: whole(c) for c in MACROS})
     f = f.withColumn(
         "calories", F.coalesce(nm.falsy_to_null("calories"), F.expr("protein * 4 + carbs * 4 + fat * 9"))
     ).withColumn("food_key", F.lower("name"))

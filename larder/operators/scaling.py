@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
-
 
 def as_cols(names) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -27,9 +25,3 @@ def top_k(df: DataFrame, keys, order, k: int, rank: str | None = None) -> DataFr
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
     """One row per key, the first by ``order`` (same group limit as top_k)."""
     return top_k(df, keys, order, 1)
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
-

@@ -12,16 +12,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators.scaling import top_k
 from larder.session import cut_lineage
 
 
+SLICES = 16  # time slices per window: the unit one task sorts when it looks for the next hit
+
+
 def _next_hits(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t, next): first hit more than a window after ``t``; rows without one drop out."""
-    bucket = F.floor(F.col("t") / F.col("window")).alias("bucket")
+    slice_of = lambda t: F.floor(t * SLICES / F.col("window")).alias("bucket")
+    bucket = slice_of(F.col("t"))
     hits = points.select(*keys, "window", "t", F.col("t").alias("hit"), F.lit(None).cast("bigint").alias("origin"), bucket)
     probes = points.select(
         *keys, "window", (F.col("t") + F.col("window")).alias("t"), F.lit(None).cast("bigint").alias("hit"),
-        F.col("t").alias("origin"), (F.floor(F.col("t") / F.col("window")) + 1).alias("bucket"),
+        F.col("t").alias("origin"), slice_of(F.col("t") + F.col("window")),
     )
     # running minimum from the latest hit backwards: the first hit later than t in this bucket
     later = Window.partitionBy(*keys, "bucket").orderBy(-F.col("t")).rangeBetween(Window.unboundedPreceding, -1)
@@ -48,20 +53,40 @@ def anchors(points: DataFrame, keys: list[str]) -> DataFrame:
     return reached
 
 
-def admit(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``admitted`` to hits with columns keys, event_id, t, window (microseconds), limit."""
-    points = cut_lineage(hits.select(*keys, "window", "t").distinct())
+def busy_keys(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than ``limit`` hits in two neighbouring buckets.
+
+    A window spans at most two buckets, so all hits of the other keys are admitted
+    and their chains need not be walked.
+    """
+    n = hits.groupBy(*keys, "limit", F.floor(F.col("t") / F.col("window")).alias("bucket")).count()
+    following = n.select(*keys, (F.col("bucket") - 1).alias("bucket"), F.col("count").alias("more"))
+    pair = n.join(following, [*keys, "bucket"], "left")
+    return pair.where(F.col("count") + F.coalesce("more", F.lit(0)) > F.col("limit")).select(*keys).distinct()
+
+
+def admit(hits: DataFrame, keys: list[str], most: int = 1_000) -> DataFrame:
+    """Adds ``admitted`` to hits with columns keys, event_id, t, window (microseconds), limit.
+
+    ``most`` is the largest limit in use.
+    """
+    busy = cut_lineage(busy_keys(hits, keys))
+    contested = hits.join(busy, keys, "left_semi")
+    points = cut_lineage(contested.select(*keys, "window", "t").distinct())
     opened = anchors(points, keys).withColumnRenamed("t", "anchor")
+    width = points.select(*keys, "window").distinct()
     # anchors of a key are more than a window apart, so a bucket holds at most one
-    width = hits.select(*keys, "window").distinct()
     at = cut_lineage(
         opened.join(width, keys).select(*keys, F.floor(F.col("anchor") / F.col("window")).alias("bucket"), "anchor")
     )
-    placed = hits.withColumn("bucket", F.floor(F.col("t") / F.col("window")))
+    placed = contested.withColumn("bucket", F.floor(F.col("t") / F.col("window")))
     same = at.withColumnRenamed("anchor", "same")
     before = at.select(*keys, (F.col("bucket") + 1).alias("bucket"), F.col("anchor").alias("before"))
     both = placed.join(same, [*keys, "bucket"], "left").join(before, [*keys, "bucket"], "left")
     anchor = F.when(F.col("same") <= F.col("t"), F.col("same")).otherwise(F.col("before"))
-    in_window = Window.partitionBy(*keys, "anchor").orderBy("t", "event_id")
-    ranked = both.withColumn("anchor", anchor).withColumn("place", F.row_number().over(in_window))
-    return ranked.select(*hits.columns, (F.col("place") <= F.col("limit")).alias("admitted"))
+    first = top_k(both.withColumn("anchor", anchor), [*keys, "anchor"], ["t", "event_id"], most, rank="place")
+    let_in = first.where("place <= limit").select(*keys, "event_id", F.lit(True).alias("in_window"))
+    calm = busy.withColumn("contested", F.lit(True))
+    out = hits.join(calm, keys, "left").join(let_in, [*keys, "event_id"], "left")
+    admitted = F.col("contested").isNull() | F.col("in_window").isNotNull()
+    return out.select(*[hits[c] for c in hits.columns if c not in (*keys, "event_id")], *keys, "event_id", admitted.alias("admitted"))

@@ -61,16 +61,16 @@ def sort_page(spark, d):
     (SELECT p_partkey FROM part ORDER BY p_size, p_partkey LIMIT 20 OFFSET 20) p, (SELECT count(*) AS total FROM part) t""")
 def agg_page_total(spark, d):
     part = tables.table(spark, d, "part")
-    total = part.agg(F.count("*").alias("total"))  # one row
+    total = part.agg(F.count("*").alias("total"))
     rows = page(part.select("p_partkey", "p_size"), ["p_size", "p_partkey"], 2, 20)
-    return rows.join(F.broadcast(total)).select("p_partkey", "total", F.ceil(F.col("total") / 20).alias("pages"))
+    return rows.withColumn("total", total.scalar()).select("p_partkey", "total", F.ceil(F.col("total") / 20).alias("pages"))
 
 
 @query("limit_with_full_total", """SELECT p.p_partkey, t.total FROM (SELECT p_partkey FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 30) p,
     (SELECT count(*) AS total FROM part WHERE p_size > 10) t""")
 def limit_with_full_total(spark, d):
     part = tables.table(spark, d, "part").where("p_size > 10").select("p_partkey")
-    return part.orderBy("p_partkey").limit(30).join(F.broadcast(part.agg(F.count("*").alias("total"))))
+    return part.orderBy("p_partkey").limit(30).withColumn("total", part.agg(F.count("*").alias("n")).scalar())
 
 
 @query("agg_list_quota", f"""

@@ -51,7 +51,7 @@ def selector_registry(spark, d):
     """Selectors known per store, beside the number of stored pages they may be run on."""
     n = tables.table(spark, d, "pages").agg(F.count("*").alias("n_pages"))
     fields = html.selector_registry(spark).groupBy("store").agg(F.count("*").alias("n_fields"))
-    return fields.join(F.broadcast(n))
+    return fields.withColumn("n_pages", n.scalar())
 
 
 @query("link_filter_udf", """

@@ -10,6 +10,7 @@ from larder.functions.text import url_canonical
 from larder.operators import graph, social
 from larder.operators.scaling import keep_first
 from larder.plans.registry import query
+from larder.session import cut_lineage
 from larder.sources import tables
 
 NOW = "2024-01-31 00:00:00"
@@ -158,7 +159,7 @@ def join_event_owner(spark, d):
     SELECT n AS node, min(d) AS distance FROM r GROUP BY n""", ("v_graph",))
 def bounded_link_reachability(spark, d):
     roots = tables.table(spark, d, "customer").where("c_custkey = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
-    return graph.reachable(tables.graph(spark, d), roots, 3)
+    return graph.reachable(cut_lineage(tables.graph(spark, d)), roots, 3)
 
 
 @query("set_visited", """
@@ -168,4 +169,4 @@ def set_visited(spark, d):
     """Nodes visited when only some nodes are walked on from."""
     roots = tables.table(spark, d, "customer").where("c_custkey = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
     walk = ~F.startswith(F.col("node"), F.lit("p")) | F.endswith(F.col("node"), F.lit("1"))
-    return graph.reachable(tables.graph(spark, d), roots, 2, expand=walk).select("node")
+    return graph.reachable(cut_lineage(tables.graph(spark, d)), roots, 2, expand=walk).select("node")

@@ -105,12 +105,9 @@ def users(spark, sf_dir) -> DataFrame:
 def edges(spark, sf_dir) -> DataFrame:
     """One directed half of each friendship."""
     customer = table(spark, sf_dir, "customer").select("c_custkey")
-    total = customer.agg(F.count("*").alias("n"))  # one row, so the cross join is a lookup
-    return (
-        customer.join(F.broadcast(total))
-        .select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % F.col("n")).alias("b"))
-        .where("a <> b")
-    )
+    total = customer.agg(F.count("*").alias("n")).scalar()
+    counted = customer.select(F.col("c_custkey").alias("a"), total.alias("n"))
+    return counted.select("a", ((F.col("a") * 7 + 3) % F.col("n")).alias("b")).where("a <> b")
 
 
 def messages(spark, sf_dir) -> DataFrame:
