@@ -40,10 +40,8 @@ def js_trim(x) -> Column:
 
 
 def strip_accents(x) -> Column:
-    """Accents and marks removed; plain ASCII text skips the character table."""
-    c = _c(x)
     # marks listed after the letters have no counterpart, so translate drops them
-    return F.when(c.rlike("[^\\x00-\\x7f]"), F.translate(c, ACCENTED + MARKS, PLAIN)).otherwise(c)
+    return F.translate(_c(x), ACCENTED + MARKS, PLAIN)
 
 
 def norm_text(x) -> Column:
@@ -146,9 +144,9 @@ def _first_of_each_key(rows: Column) -> Column:
     def firsts(ordered):
         new_key = lambda s, j: (j == 0) | (F.get(ordered, j - 1)["k"] != s["k"])
         kept = F.transform(F.filter(ordered, new_key), lambda s: F.struct(s["i"].alias("i"), s["v"].alias("v")))
-        return F.transform(F.array_sort(kept), lambda s: s["v"])
+        return F.transform(F.sort_array(kept), lambda s: s["v"])
 
-    return let(F.array_sort(rows), firsts)
+    return let(F.sort_array(rows), firsts)
 
 
 def dedupe_lines(lines) -> Column:

@@ -92,7 +92,7 @@ def merge_nested(entries: DataFrame, owner: str, keys: list[str], value: str, or
     at = F.struct(*as_cols(order))
     merged = entries.groupBy(owner, *keys).agg(F.min(at).alias("__first"), F.max_by(value, at).alias(value))
     item = F.struct(F.col("__first"), *[F.col(k) for k in keys], F.col(value))
-    return merged.groupBy(owner).agg(F.array_sort(F.collect_list(item)).alias("__items")).select(
+    return merged.groupBy(owner).agg(F.sort_array(F.collect_list(item)).alias("__items")).select(
         owner,
         F.transform(
             "__items", lambda s: F.struct(*[s[k].alias(k) for k in keys], s[value].alias(value))

@@ -104,7 +104,7 @@ def enrich_meals(meals: DataFrame, prices: DataFrame, key: str = "meal_id") -> D
         "store",
     )
     nested = priced.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.col("raw").alias("name"), "found", "price", "store"))).alias("ingredients")
+        F.sort_array(F.collect_list(F.struct("pos", F.col("raw").alias("name"), "found", "price", "store"))).alias("ingredients")
     )
     morning, afternoon = fv.DEFAULT_SNACKS
     default = F.struct(F.lit(morning).alias("morning"), F.lit(afternoon).alias("afternoon"))

@@ -71,8 +71,8 @@ def scan_history(scans: DataFrame, user: str = "user_id") -> DataFrame:
     """Per user: number of earlier scans (at most 100), ten recent and six frequent foods."""
     total = scans.groupBy(user).agg(F.least(F.count("*"), F.lit(100)).alias("scan_count"))
     recent = top_k(scans, [user], [F.desc("ts"), F.desc("id")], 10, rank="r").groupBy(user).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "food"))), lambda s: s["food"]).alias("recent_foods"))
+        F.transform(F.sort_array(F.collect_list(F.struct("r", "food"))), lambda s: s["food"]).alias("recent_foods"))
     counts = scans.groupBy(user, "food").count()
     frequent = top_k(counts, [user], [F.desc("count"), F.asc("food")], 6, rank="r").groupBy(user).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "food"))), lambda s: s["food"]).alias("frequent_foods"))
+        F.transform(F.sort_array(F.collect_list(F.struct("r", "food"))), lambda s: s["food"]).alias("frequent_foods"))
     return total.join(recent, user, "left").join(frequent, user, "left")

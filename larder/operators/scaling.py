@@ -25,3 +25,12 @@ def top_k(df: DataFrame, keys, order, k: int, rank: str | None = None) -> DataFr
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
     """One row per key, the first by ``order`` (same group limit as top_k)."""
     return top_k(df, keys, order, 1)
+
+
+def add_kept(df: DataFrame, name: str, value: Column, test) -> DataFrame:
+    """Add column ``name`` and keep the rows where ``test(column)`` holds.
+
+    The value is worked out once. With a plain where() the optimizer moves the test
+    below the projection and evaluates a costly value a second time.
+    """
+    return df.withColumn(name, F.explode(F.filter(F.array(value), test)))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from larder.functions.search import expand_query, multi_word_score
 from larder.functions.text import iota_canonical, substitute_norm
 from larder.operators.filters import where_equal
-from larder.operators.scaling import keep_first, top_k
+from larder.operators.scaling import add_kept, keep_first, top_k
 from larder.session import cut_lineage
 
 GRAM = 3
@@ -52,7 +52,7 @@ def match_by_gram(names: DataFrame, sets: DataFrame) -> DataFrame:
 
     The gram comes from the longest term; shorter terms use pieces of their length.
     """
-    by_length = F.array_sort(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    by_length = F.sort_array(F.transform("terms", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     anchor = F.get(by_length, 0)["t"]
     piece = (
         F.when(F.length(anchor) >= GRAM, grams(anchor, GRAM))
@@ -136,7 +136,7 @@ def candidates(products: DataFrame, queries: DataFrame, limit: int = 100, inline
 
 def ranked(pool: DataFrame, floor: int = 10) -> DataFrame:
     """Score of each candidate; only scores above ``floor`` stay."""
-    return pool.withColumn("score", multi_word_score("name", F.col("terms"))).where(F.col("score") > floor)
+    return add_kept(pool, "score", multi_word_score("name", F.col("terms")), lambda s: s > floor)
 
 
 def dedupe_lowest_price(scored: DataFrame, k: int = 40) -> DataFrame:
@@ -169,7 +169,7 @@ def substitutes(products: DataFrame, pool: int = 30, considered: int = 6, shown:
     pools = (
         cheapest_matches(products.withColumn("match_key", F.lower("normalized_name")), sets, pool)
         .groupBy(F.element_at("terms", 1).alias("word"))
-        .agg(F.array_sort(F.collect_list(item)).alias("pool"))
+        .agg(F.sort_array(F.collect_list(item)).alias("pool"))
     )
 
     def allowed(p):

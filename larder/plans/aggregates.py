@@ -9,7 +9,7 @@ from larder.functions import structures as st
 from larder.functions.dates import epoch_micros
 from larder.functions.text import as_text, js_trim, let
 from larder.operators import social
-from larder.operators.scaling import keep_first, top_k
+from larder.operators.scaling import add_kept, keep_first, top_k
 from larder.plans.joins import ACCESS, VISIBLE, access, visible
 from larder.plans.registry import query
 from larder.sources import html, tables
@@ -175,7 +175,7 @@ def reassemble(texts, results):
 
     def put_back(done):
         new = F.transform(filled, lambda s, j: F.struct(s["i"].alias("i"), F.coalesce(F.get(done, j), s["x"]).alias("x")))
-        return F.transform(F.array_sort(F.concat(blanks, new)), lambda s: s["x"])
+        return F.transform(F.sort_array(F.concat(blanks, new)), lambda s: s["x"])
 
     return let(results, put_back)
 
@@ -255,7 +255,7 @@ def topk_oldest_messages(spark, d):
     SELECT vec_id, string_agg(i || ':' || CAST(floor(s * 100 + 0.5) AS BIGINT), '|' ORDER BY i) AS labels FROM k WHERE rn <= 5 GROUP BY vec_id""")
 def topk_labels(spark, d):
     scored = F.transform("embedding", lambda s, i: F.struct(i.cast("string").alias("label"), s.cast("double").alias("score")))
-    e = tables.table(spark, d, "embeddings").select("vec_id", st.top_labels(scored).alias("ls")).where(F.size("ls") > 0)
+    e = add_kept(tables.table(spark, d, "embeddings"), "ls", st.top_labels(scored), lambda ls: F.size(ls) > 0)
     return e.select("vec_id", as_text(F.transform("ls", lambda x: F.concat(x["label"], F.lit(":"), x["score"].cast("string")))).alias("labels"))
 
 

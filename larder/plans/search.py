@@ -8,7 +8,7 @@ from larder.functions import search as fs
 from larder.functions.dates import epoch_micros
 from larder.functions.text import as_text, greeklish_to_greek, iota_canonical, norm_text
 from larder.operators import search
-from larder.operators.scaling import top_k
+from larder.operators.scaling import add_kept, top_k
 from larder.plans.registry import query
 from larder.sources import tables
 
@@ -167,7 +167,7 @@ TOKENS = "[w FOR w IN regexp_split_to_array(strip_accents(lower({0})), '[^\\p{{L
 def fulltext_score(spark, d):
     r = tables.recipes(spark, d)
     score = fs.fulltext_score(F.lit(["the", "la", "que"]), title="title", ingredients=F.concat_ws(" ", "ingredients"), description="description")
-    return r.select("id", score.alias("s")).where("s > 0").select("id", (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("score"))
+    return add_kept(r, "s", score, lambda s: s > 0).select("id", (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("score"))
 
 
 @query("norm_text", "SELECT doc_id, trim(strip_accents(lower(text)), chr(32) || chr(10)) AS norm FROM documents")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text as tx
 from larder.operators import translate
+from larder.operators.scaling import add_kept
 from larder.plans.registry import query
 from larder.sources import tables
 
@@ -65,8 +66,8 @@ def recipe_section_line(spark, d):
     WITH k AS (SELECT doc_id, pos, line, {norm_sql('line')} AS key FROM v_lines), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS rn FROM k WHERE key <> '')
     SELECT doc_id, string_agg(line, '|' ORDER BY pos) AS lines FROM f WHERE rn = 1 GROUP BY doc_id""", ("v_lines",))
 def dedupe_lines(spark, d):
-    out = docs(spark, d).select("doc_id", tx.dedupe_lines(F.split("text", "\n", -1)).alias("ls"))
-    return out.where(F.size("ls") > 0).select("doc_id", tx.as_text("ls").alias("lines"))
+    out = add_kept(docs(spark, d), "ls", tx.dedupe_lines(F.split("text", "\n", -1)), lambda ls: F.size(ls) > 0)
+    return out.select("doc_id", tx.as_text("ls").alias("lines"))
 
 
 @query("sanitize_lines", f"""
@@ -75,8 +76,8 @@ def dedupe_lines(spark, d):
     f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS rn FROM k WHERE key <> '')
     SELECT doc_id, string_agg(line, '|' ORDER BY pos) AS lines FROM f WHERE rn = 1 GROUP BY doc_id""", ("v_lines",))
 def sanitize_lines(spark, d):
-    out = docs(spark, d).select("doc_id", tx.sanitize_lines(F.split("text", "\n", -1)).alias("ls"))
-    return out.where(F.size("ls") > 0).select("doc_id", tx.as_text("ls").alias("lines"))
+    out = add_kept(docs(spark, d), "ls", tx.sanitize_lines(F.split("text", "\n", -1)), lambda ls: F.size(ls) > 0)
+    return out.select("doc_id", tx.as_text("ls").alias("lines"))
 
 
 @query("split_instructions", f"""
@@ -157,7 +158,7 @@ def translate_record(spark, d):
     c AS (SELECT r.doc_id, r.c, trim(string_agg(s.t, '' ORDER BY s.i), {WS}) AS chunk FROM r JOIN s ON r.doc_id = s.doc_id AND r.i = s.i GROUP BY 1, 2)
     SELECT doc_id, count(*) AS n, string_agg(chunk, '|' ORDER BY c) AS chunks FROM c WHERE chunk <> '' GROUP BY doc_id""")
 def sentence_chunks(spark, d):
-    out = docs(spark, d).select("doc_id", tx.sentence_chunks("text").alias("cs")).where(F.size("cs") > 0)
+    out = add_kept(docs(spark, d), "cs", tx.sentence_chunks("text"), lambda cs: F.size(cs) > 0)
     return out.select("doc_id", F.size("cs").cast("bigint").alias("n"), tx.as_text("cs").alias("chunks"))
 
 

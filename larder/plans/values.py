@@ -9,6 +9,7 @@ from larder.functions import fixed_values as fv
 from larder.functions import numbers as nm
 from larder.functions import structures as st
 from larder.functions import text as tx
+from larder.operators.scaling import add_kept
 from larder.plans.joins import ACCESS, NOW, access
 from larder.plans.registry import query
 from larder.sources import tables
@@ -137,7 +138,7 @@ def jsonld_recipe(spark, d):
         F.lit(',"totalTime":"PT1H'), (i % 60).cast("string"), F.lit('M","recipeIngredient":["salt","'), "event_type", F.lit('"]}'))
     body = F.when(i % 4 == 0, recipe).when(i % 4 == 3, "not json").otherwise(F.concat(F.lit('{"@graph":[{"@type":"WebPage"},'), recipe, F.lit("]}")))
     page = F.concat(F.lit('<head><script type="application/ld+json">{"@type":"WebSite"}</script><script type=\'application/ld+json\'>'), body, F.lit("</script></head>"))
-    parsed = events(spark, d).select("event_id", st.jsonld_fields(st.jsonld_recipe(page)).alias("r")).where("r.name IS NOT NULL")
+    parsed = add_kept(events(spark, d), "r", st.jsonld_fields(st.jsonld_recipe(page)), lambda r: r["name"].isNotNull())
     return parsed.select("event_id", F.col("r.name").alias("name"), F.col("r.recipeYield").alias("yield"), tx.as_text("r.recipeIngredient").alias("ingredients"),
                          st.first_image("r.image").alias("image"), dt.iso_duration_minutes("r.totalTime").alias("minutes"))
 
@@ -145,8 +146,8 @@ def jsonld_recipe(spark, d):
 @query("offer_tile_json", """SELECT event_id, event_type AS name, value AS price, '-' || CAST(event_id % 50 AS VARCHAR) || '%' AS discount_percent, true AS is_on_sale, false AS is_1plus1
     FROM events WHERE event_id % 7 <> 0 AND value > 0""")
 def offer_tile_json(spark, d):
-    tile = tables.api_payloads(spark, d).select("event_id", st.parse_tile("payload").alias("t")).where(st.in_stock(F.col("t")))
-    o = tile.select("event_id", st.offer_from_tile(F.col("t")).alias("o")).where("o.name <> '' AND o.price > 0")
+    tile = add_kept(tables.api_payloads(spark, d), "t", st.parse_tile("payload"), st.in_stock)
+    o = add_kept(tile, "o", st.offer_from_tile(F.col("t")), lambda o: (o["name"] != "") & (o["price"] > 0))
     return o.select("event_id", "o.name", "o.price", "o.discount_percent", "o.is_on_sale", "o.is_1plus1")
 
 

@@ -11,6 +11,7 @@ from larder.functions import fixed_values as fv
 from larder.functions.numbers import js_round, salt_from_sodium
 from larder.functions.structures import has_palm_oil
 from larder.functions.text import js_trim
+from larder.operators.scaling import add_kept
 
 RECIPE_API_SCHEMA = """title STRING, summary STRING, image STRING, servings INT, readyInMinutes INT,
     healthScore DOUBLE, sourceUrl STRING, instructions STRING, cuisines ARRAY<STRING>, dishTypes ARRAY<STRING>,
@@ -40,7 +41,7 @@ def api_recipes(raw: DataFrame, key: str, payload: str) -> DataFrame:
     prose = F.regexp_replace("r.instructions", "<[^>]*>", "")
     spelt = F.filter(F.transform(F.split(prose, "(?:\\d+\\.\\s*|\\n)+"), js_trim), lambda s: F.length(s) > 10)
     steps = F.when(F.size("r.analyzedInstructions") > 0, analysed).otherwise(spelt)
-    return r.select(
+    return add_kept(r, "steps", steps, lambda s: F.size(s) > 0).select(
         key,
         F.col("r.title").alias("title"),
         *[nutrient(n).alias(alias) for n, alias in
@@ -48,11 +49,11 @@ def api_recipes(raw: DataFrame, key: str, payload: str) -> DataFrame:
         F.coalesce("r.servings", F.lit(4)).alias("servings"),
         F.coalesce("r.readyInMinutes", F.lit(30)).alias("minutes"),
         lines.alias("ingredients"),
-        steps.alias("instructions"),
+        F.col("steps").alias("instructions"),
         F.col("r.cuisines").alias("cuisines"),
         F.col("r.dishTypes").alias("dish_types"),
         F.col("r.sourceUrl").alias("url"),
-    ).where(F.size("instructions") > 0)
+    )
 
 
 def wide_to_array(columns: list[str], n: int = 20) -> Column:
