@@ -98,6 +98,14 @@ def clean_html(x) -> Column:
     return js_trim(F.regexp_replace(out, "\\s{2,}", " "))
 
 
+UNTIDY = "[<&]|\\s{2}|^[\\s ﻿]|[\\s ﻿]$"
+
+
+def clean_line(x: Column) -> Column:
+    """clean_html for a line held in a variable: most lines need nothing done."""
+    return F.when(x.rlike(UNTIDY), clean_html(x)).otherwise(x)
+
+
 def clean_text(x, fallback: str = "") -> Column:
     collapsed = F.regexp_replace(js_trim(x), "\\s+", " ")
     return F.coalesce(F.nullif(collapsed, F.lit("")), F.lit(fallback))
@@ -151,7 +159,9 @@ def _first_of_each_key(rows: Column) -> Column:
 
 def dedupe_lines(lines) -> Column:
     """Drop blank and repeated lines by their normalised form, first kept, order kept."""
-    keyed = F.transform(_c(lines), lambda x, i: F.struct(norm_line(x).alias("k"), i.alias("i"), x.alias("v")))
+    keyed = F.transform(
+        _c(lines), lambda x, i: F.struct(norm_text(clean_line(x)).alias("k"), i.alias("i"), x.alias("v"))
+    )
     return _first_of_each_key(F.filter(keyed, lambda s: s["k"] != ""))
 
 
@@ -182,9 +192,9 @@ def sanitize_lines(lines, instructions: bool = False) -> Column:
 
             return let(norm_text(c), with_key)
 
-        return let(clean_html(v), with_clean)
+        return let(clean_line(v), with_clean)
 
-    plain = F.transform(_c(lines), lambda x: strip_bullet(clean_html(x)))
+    plain = F.transform(_c(lines), lambda x: strip_bullet(clean_line(x)))
     judged = F.filter(F.transform(plain, judge), lambda s: s["keep"] & (s["k"] != ""))
     return _first_of_each_key(
         F.transform(judged, lambda s: F.struct(s["k"].alias("k"), s["i"].alias("i"), s["v"].alias("v")))

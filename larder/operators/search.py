@@ -63,11 +63,15 @@ def match_by_gram(names: DataFrame, sets: DataFrame) -> DataFrame:
     pieces = names.select(
         "name", F.explode(F.concat(grams(F.col("name"), 3), grams(F.col("name"), 2), grams(F.col("name"), 1))).alias("gram")
     )
-    wanted = pieces.join(asked.select("gram").distinct(), "gram", "left_semi")
-    frequency = wanted.groupBy("gram").count()
-    filed = keep_first(asked.join(frequency, "gram"), ["terms"], ["count", "gram"]).select("terms", "gram")
-    pairs = wanted.join(filed, "gram").where(F.forall("terms", lambda t: F.col("name").contains(t)))
-    return pairs.select("terms", "name").join(names, "name")
+    # written once: counted per gram, then joined with the sets filed under each gram
+    wanted = cut_lineage(pieces.join(asked.select("gram").distinct(), "gram", "left_semi"))
+    frequency = wanted.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("names"))
+    counted = asked.join(frequency, asked["gram"] == frequency["g"]).select("terms", "g", "names")
+    filed = keep_first(counted, ["terms"], ["names", "g"]).select("g", "terms")
+    pairs = filed.join(wanted, filed["g"] == wanted["gram"]).select("terms", "name")
+    # kept by a generator: as a join condition this lambda over both sides fails to bind at run time
+    held = add_kept(pairs, "held", F.forall("terms", lambda t: F.col("name").contains(t)), lambda ok: ok)
+    return held.drop("held").join(names, "name")
 
 
 def match_names(names: DataFrame, sets: DataFrame, inline: int = INLINE_SETS) -> DataFrame:
