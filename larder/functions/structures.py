@@ -24,18 +24,23 @@ RECIPE_FIELDS = """name STRING, description STRING, image STRING, recipeYield ST
     fatContent STRING, fiberContent STRING>"""
 
 
-def jsonld_recipe(html) -> Column:
-    """The first JSON-LD block that is a Recipe, else the first inside a @graph, as raw JSON."""
+def recipe_body(bodies: Column) -> Column:
+    """Of JSON-LD texts: the first Recipe, else the first Recipe inside a @graph."""
     is_recipe = lambda b: F.get_json_object(b, "$['@type']") == "Recipe"
     none = F.array().cast("array<string>")
 
-    def pick(bodies):
+    def pick(bs):
         nodes = F.flatten(
-            F.transform(bodies, lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$['@graph']"), "array<string>"), none))
+            F.transform(bs, lambda b: F.coalesce(F.from_json(F.get_json_object(b, "$['@graph']"), "array<string>"), none))
         )
-        return F.coalesce(F.get(F.filter(bodies, is_recipe), 0), F.get(F.filter(nodes, is_recipe), 0))
+        return F.coalesce(F.get(F.filter(bs, is_recipe), 0), F.get(F.filter(nodes, is_recipe), 0))
+
+    return let(bodies, pick)
 
-    return let(F.regexp_extract_all(_c(html), F.lit(JSONLD), F.lit(1)), pick)
+
+def jsonld_recipe(html) -> Column:
+    """The recipe among the JSON-LD blocks of a page, as raw JSON."""
+    return recipe_body(F.regexp_extract_all(_c(html), F.lit(JSONLD), F.lit(1)))
 
 
 def jsonld_fields(body) -> Column:

@@ -70,14 +70,12 @@ def visible_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     both sides build, so it never becomes a nested loop.
     """
     key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
-    nobody = F.lit(None).cast(messages.schema["share_key"].dataType)
-    blank = F.coalesce(nobody, F.lit(-1))
     wanted = requests.select(
         "request_id",
         F.explode(
             F.array_distinct(
                 F.array(
-                    key("group", F.col("room"), blank),
+                    key("group", F.col("room"), F.col("room")),
                     key("direct", F.col("own"), F.col("room")),
                     key("direct", F.col("room"), F.col("own")),
                 )
@@ -86,7 +84,7 @@ def visible_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     ).distinct()
     filed = messages.withColumn(
         "k",
-        F.when(F.col("target_key").isNull(), key("group", F.col("share_key"), blank)).otherwise(
+        F.when(F.col("target_key").isNull(), key("group", F.col("share_key"), F.col("share_key"))).otherwise(
             key("direct", F.col("share_key"), F.col("target_key"))
         ),
     )

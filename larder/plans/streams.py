@@ -146,5 +146,5 @@ def stream_upsert(spark, d):
 @query("stream_available_now", "SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_available_now(spark, d):
     """A periodic refresh: the stream job catches up with all files and stops."""
-    fresh = jobs.run_to_table(jobs.read_events(spark, d, per_trigger=1).select("event_id", "ts"), "refresh")
+    fresh = jobs.run_to_table(jobs.read_events(spark, d, per_batch=64 << 20).select("event_id", "ts"), "refresh")
     return fresh.groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"))

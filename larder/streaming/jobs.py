@@ -24,11 +24,11 @@ from larder.session import ROCKSDB_PROVIDER, scratch_path
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1_000) -> DataFrame:
-    """Append-only event files as a stream, a bounded number of files per batch."""
+def read_events(spark: SparkSession, folder: str, files: str = "events.parquet", per_batch: int = 4 << 30) -> DataFrame:
+    """Append-only event files as a stream; a batch takes files up to ``per_batch`` bytes."""
     return (
         spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", per_trigger).parquet(folder)
+        .option("maxBytesPerTrigger", per_batch).parquet(folder)
     )
 
 

@@ -257,3 +257,29 @@ def test_recipe_sites(spark):
 def test_url_map_files(spark, tmp_path):
     (tmp_path / "links.json").write_text('{"A": ["u1", "u2"], "B": []}')
     assert rows(files.read_json_object(spark, str(tmp_path / "links.json"))) == [("A", "u1"), ("A", "u2")]
+
+
+def test_recipe_pipeline(spark):
+    from larder.operators import recipes
+
+    ld = '{"@type":"Recipe","name":"Φακές","recipeYield":"6","totalTime":"PT20M","recipeIngredient":["200γρ φακές","200γρ φακές"],"recipeInstructions":[{"text":"Βράζουμε τις φακές."}],"nutrition":{"calories":"320 kcal","proteinContent":"30 g"}}'
+    pages = spark.createDataFrame([
+        (1, "akis", "u1", f'<h1>x</h1><script type="application/ld+json">{ld}</script>'),
+        (2, "akis", "u2", f'<h1>x</h1><script type="application/ld+json">{ld}</script>'),
+        (3, "gymbeam", "u3", "<h1>Συνταγή τούρτα</h1><div class='e-content'>Intro\nΥλικά:\n2 αυγά\nαλεύρι\nΕκτέλεση:\nΧτυπάμε τα αυγά καλά.\nΨήνουμε για μία ώρα.</div><table><tr>Λιπαρά 12 γρ</tr></table>"),
+        (4, "panos", "u4", "<p>nothing</p>"),
+        (5, "akis", "old", "<h1>x</h1>"),
+    ], "page_id int, site string, url string, html string")
+    raw = html.parse_recipe_pages(pages).join(pages.select("page_id", "url"), "page_id")
+    built = recipes.build_recipes(raw)
+    rows_by_id = {r["page_id"]: r for r in built.collect()}
+    r = rows_by_id[1]
+    assert (r["title"], r["servings"], r["minutes"], r["calories"], r["protein"]) == ("Φακές", 6, 20, 320.0, 30.0)
+    assert r["ingredients"] == ["200γρ φακές"] and r["instructions"] == ["Βράζουμε τις φακές."]
+    assert r["tags"] == ["high-protein", "healthy", "quick"] and r["difficulty"] == "Εύκολη" and r["is_healthy"]
+    r = rows_by_id[3]
+    assert r["ingredients"] == ["2 αυγά", "αλεύρι"] and r["instructions"] == ["Χτυπάμε τα αυγά καλά.", "Ψήνουμε για μία ώρα."]
+    assert r["outcome"] == "ok"
+    stored = spark.createDataFrame([("old", "z", "akis")], "url string, title string, site string")
+    outcome = {r["page_id"]: r["outcome"] for r in recipes.store_new(built, stored, ["page_id"]).collect()}
+    assert outcome == {1: "added", 2: "skipped", 3: "added", 4: "error", 5: "skipped"}
