@@ -28,7 +28,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     picked = sys.argv[1:] or HEADLINE
     registry = load_all()
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)

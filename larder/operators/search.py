@@ -155,9 +155,16 @@ def dedupe_lowest_price(scored: DataFrame, k: int = 40) -> DataFrame:
 
 
 def search(products: DataFrame, queries: DataFrame, store: str | None = None, k: int = 40) -> DataFrame:
-    """Ranked product search for a whole table of queries."""
+    """Ranked product search for a whole table of queries.
+
+    A text asked many times is searched once, under one of its ids, and its ``k`` rows
+    are handed to all who asked.
+    """
     pool = where_equal(products, supermarket=store)
-    return dedupe_lowest_price(ranked(candidates(pool, queries)), k)
+    asked = queries.groupBy("q").agg(F.min("qid").alias("qid"))
+    found = dedupe_lowest_price(ranked(candidates(pool, asked)), k).withColumnRenamed("qid", "same_as")
+    askers = queries.join(asked.withColumnRenamed("qid", "same_as"), "q").select("qid", "same_as")
+    return found.join(askers, "same_as").select("qid", "rank", "id", "name", "supermarket", "price")
 
 
 def substitutes(products: DataFrame, pool: int = 30, considered: int = 6, shown: int = 3) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from larder.functions import structures as st
 from larder.functions.dates import epoch_micros
-from larder.functions.text import as_text, js_trim, let
+from larder.functions.text import as_text
 from larder.operators import social
+from larder.operators.ordering import batches, is_blank, page, reassemble, sorted_by
 from larder.operators.scaling import add_kept, keep_first, top_k
 from larder.plans.joins import ACCESS, VISIBLE, access, visible
 from larder.plans.registry import query
@@ -45,12 +45,6 @@ def agg_scrape_status(spark, d):
     return o.select("total", epoch_micros("latest").alias("latest_us"))
 
 
-def page(df, order, number, limit, cap=100):
-    """One page of a total order; the page is at least 1, the limit between 1 and ``cap``."""
-    size, at = max(1, min(cap, limit)), max(1, number)
-    return df.orderBy(*order).offset((at - 1) * size).limit(size)
-
-
 @query("sort_page", "SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50 OFFSET 100")
 def sort_page(spark, d):
     part = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
@@ -157,29 +151,6 @@ def win_latest_per_user(spark, d):
     return keep_first(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
 
 
-def is_blank(x):
-    return F.coalesce(js_trim(x), F.lit("")) == ""
-
-
-def batches(texts, size=50):
-    """Non-blank texts with their place and batch number, as an array of structs."""
-    placed = F.filter(F.transform(texts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~is_blank(s["x"]))
-    return F.transform(placed, lambda s, j: F.struct(s["i"].alias("i"), s["x"].alias("x"), F.floor(j / size).alias("batch")))
-
-
-def reassemble(texts, results):
-    """Batch results put back at their places: blanks untouched, a missing result keeps the text."""
-    placed = F.transform(texts, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    blanks = F.filter(placed, lambda s: is_blank(s["x"]))
-    filled = F.filter(placed, lambda s: ~is_blank(s["x"]))
-
-    def put_back(done):
-        new = F.transform(filled, lambda s, j: F.struct(s["i"].alias("i"), F.coalesce(F.get(done, j), s["x"]).alias("x")))
-        return F.transform(F.sort_array(F.concat(blanks, new)), lambda s: s["x"])
-
-    return let(results, put_back)
-
-
 NONBLANK = "SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS j FROM v_lines WHERE trim(line) <> ''"
 
 
@@ -203,18 +174,6 @@ def win_position_reassembly(spark, d):
 
 # --- sorts and limits -----------------------------------------------------------
 
-# Sort modes of the recipe list; an unknown mode sorts by newest.
-SORT_MODES = {
-    "newest": [F.desc, "created_at"], "quick": [F.asc, "minutes"], "protein": [F.desc, "protein"], "calories": [F.asc, "calories"],
-    "popular": [F.desc, "protein", F.asc, "calories"],
-}
-
-
-def sorted_by(df, mode):
-    spec = SORT_MODES.get(mode, SORT_MODES["newest"])
-    return df.orderBy(*[way(column) for way, column in zip(spec[::2], spec[1::2])], "id")
-
-
 MODE_SQL = {"newest": "created_at DESC NULLS LAST", "quick": "minutes NULLS FIRST", "protein": "protein DESC NULLS LAST", "calories": "calories NULLS FIRST",
             "popular": "protein DESC NULLS LAST, calories NULLS FIRST", "other": "created_at DESC NULLS LAST"}
 

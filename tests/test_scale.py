@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larder.functions.search import expand_query
 from larder.functions.text import norm_text
 from larder.operators import catalog, graph, nutrition, scaling, search, social, translate, windows
-from larder.plans.aggregates import batches, reassemble
+from larder.operators.ordering import batches, reassemble
 from larder.sources import dom, files, html
 from larder.streaming import jobs
 
@@ -103,7 +103,7 @@ def test_search_equals_replay(spark, shop):
     from larder.functions.search import multi_word_score
 
     items, products = shop
-    asked = ["milk", "γάλα φρέσκο", "ξυδι", "rice zzz", "μήλο", "x", "gala"]
+    asked = ["milk", "γάλα φρέσκο", "ξυδι", "rice zzz", "μήλο", "x", "gala", "milk", "milk"]
     queries = spark.createDataFrame(list(enumerate(asked)), "qid int, q string")
     variants = {r["qid"]: r["v"] for r in queries.select("qid", expand_query("q").alias("v")).collect()}
     sets = spark.createDataFrame([(t,) for v in variants.values() for t in v], "terms array<string>").distinct()
