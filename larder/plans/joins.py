@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import structures as st
-from larder.functions.dates import epoch_micros, ntz
+from larder.functions.dates import ntz
 from larder.functions.text import url_canonical
 from larder.operators import graph, social
-from larder.operators.scaling import keep_first
 from larder.plans.registry import query
 from larder.session import cut_lineage
 from larder.sources import tables

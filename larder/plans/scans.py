@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.functions import structures as st
 from larder.functions.dates import epoch_micros
-from larder.functions.text import as_text, clean_html, url_canonical
+from larder.functions.text import as_text, url_canonical
 from larder.operators import catalog, social
-from larder.operators.scaling import keep_first, top_k
+from larder.operators.scaling import keep_first
 from larder.plans.registry import query
 from larder.session import scratch_path
 from larder.sources import files, html, ingest, tables

@@ -10,7 +10,7 @@ from larder.functions import numbers as nm
 from larder.functions import structures as st
 from larder.functions import text as tx
 from larder.operators.scaling import add_kept
-from larder.plans.joins import ACCESS, NOW, access
+from larder.plans.joins import ACCESS, access
 from larder.plans.registry import query
 from larder.sources import tables
 
