@@ -97,21 +97,23 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
         return mix((prefix[end] - prefix[start]) * down[start])
 
 
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
+BLANKS = np.zeros(256, bool)
+BLANKS[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs other than blank and 0x09-0x0D, A-Z lower-cased): hash, row, and first word of each row.
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs without bytes of ``between``, A-Z lower-cased): hash, row, and first word of each row.
 
     The last array has one entry per row and a closing one.
     """
     n = len(data)
     if n == 0:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SEP[data]
+    inside = ~between[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
