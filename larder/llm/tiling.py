@@ -6,7 +6,7 @@ Karp-Rabin: window hashes of a falling length, restarted at twice the length whe
 lie in any order, so a passage whose sentences were moved is still covered. The document is contaminated by the item
 if tiles cover at least ``COVERAGE`` of the item's words.
 
-Words are runs of letters, digits and bytes above 127, A-Z lower-cased. The benchmark is the stated query set: it is
+Words are runs of ASCII letters, digits and all other characters outside ASCII, in lower case. The benchmark is the stated query set: it is
 taken in blocks of about ``BLOCK`` bytes, and each block is sent to one pass over the documents, which needs no
 shuffle; all documents are read whole, and nothing about documents reaches the driver.
 
@@ -138,8 +138,8 @@ class _Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, coverage: float = COVERAGE) -> DataFrame:
     """(id, item_id, item_words, covered, tiles, longest, coverage) of each contaminated pair."""
     spark = docs.sparkSession
-    docs = plain(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
-    items = plain(benchmark, item_col, item_text).toDF("item_id", "text").where("item_id is not null and text is not null")
+    docs = plain(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null").select("id", F.lower("text").alias("text"))
+    items = plain(benchmark, item_col, item_text).toDF("item_id", "text").where("item_id is not null and text is not null").select("item_id", F.lower("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK)
     schema = "id long, item_id long, item_words int, covered int, tiles int, longest int, coverage double"
