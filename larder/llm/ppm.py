@@ -168,11 +168,13 @@ class Trees:
         return out
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, bits_per_byte) of every row."""
+def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """(id, lang_pred, score, bits_per_byte) of every row; ``carry`` names a further column to keep."""
     letters = F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), letters.alias("letters"))
+    more = [F.col(f"`{carry}`")] if carry else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), letters.alias("letters"), *more)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["id", "lang_pred", "score", "bits_per_byte", *([carry] if carry else [])]
 
     def each(batches):
         trees = Trees(sent.value) if sent.value else None
@@ -193,9 +195,11 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
                     langs.append(trees.langs[b] if ok else UNKNOWN)
                     scores.append(float(1 / odds[r]) if ok else 0.0)
                     rate.append(float(bits[r, b] / max(1, offsets[r + 1] - offsets[r])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())], names=["id", "lang_pred", "score", "bits_per_byte"])
+            made = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=names)
 
-    return rows.mapInArrow(each, "id long, lang_pred string, score double, bits_per_byte double")
+    kinds = f", `{carry}` {docs.schema[carry].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(each, f"id long, lang_pred string, score double, bits_per_byte double{kinds}")
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:

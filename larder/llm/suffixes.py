@@ -20,6 +20,7 @@ ignored. A task holds one group of about ``GROUP`` bytes, or one longer document
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -264,3 +265,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     done = by_group.cogroup(common.unionAll(firsts).groupBy("g")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     whole = docs.where("id is null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("kept"))
     return done.unionAll(whole)
+
+
+def readable(kept):
+    """Remaining bytes as text; what is left of a cut character is left out."""
+
+    @F.pandas_udf("string")
+    def decode(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(kept)
