@@ -65,7 +65,22 @@ def _anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    return ((hashed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _six(hashed: np.ndarray) -> bytes:
+    """Low six bytes of each hash; the bucket tells the rest, and a false match only adds a candidate."""
+    return hashed.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(blobs) -> np.ndarray:
+    six = _array(blobs, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view(np.uint64).ravel()
 
 
 def _group_anchors(tbl):
@@ -90,10 +105,10 @@ def _surroundings(tbl, shared: np.ndarray):
     """For shared anchors: per occurrence chunk, position, row and surroundings' number; per surroundings its bytes,
     hash and smallest document, in a fixed order."""
     ids, parts, hashed, docs = _group_anchors(tbl)
-    wanted = np.union1d(shared, _many_documents(hashed, docs))
+    wanted = np.union1d(shared, _many_documents(hashed, docs) & _LOW)
     places, blocks, hashes, owners = [], [], [], []
     for number, (lo, data, offsets, at, row, h) in enumerate(parts):
-        keep = np.isin(h, wanted)
+        keep = np.isin(h & _LOW, wanted)
         at, row, h = at[keep], row[keep], h[keep]
         begin, end = offsets[row], offsets[row + 1]
         left, right = np.minimum(REACH - 1, at - begin), np.minimum(WINDOW, end - at)
@@ -117,26 +132,27 @@ def _surroundings(tbl, shared: np.ndarray):
     return ids, parts, (chunk, at, row, number), block[first], hashed[first], least
 
 
-def _first_documents(block: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """First document of each window (row: surroundings, column: bytes before the anchor), by radix passes."""
-    first = np.repeat(owner[:, None], REACH, 1)
+def _first_documents(block: np.ndarray, owner: np.ndarray):
+    """First document of each window by radix passes: one number for surroundings whose windows agree, else a mark and a
+    number for each window (column: bytes before the anchor)."""
+    one, rows, uneven = owner.copy(), [np.zeros(0, np.int64)], [np.zeros((0, REACH), np.int64)]
     core = np.ascontiguousarray(block[:, REACH - 1 : REACH - 1 + SEED]).view(f"V{SEED}").ravel()
     _, anchor, size = np.unique(core, return_inverse=True, return_counts=True)
     several = np.flatnonzero(size[anchor] > 1)
     several = several[np.argsort(anchor[several], kind="stable")]
-    cuts = np.flatnonzero(np.diff(anchor[several], prepend=-1))
+    cuts = np.append(np.flatnonzero(np.diff(anchor[several], prepend=-1)), len(several))
     lo = 0
     while lo < len(several):  # whole anchors, about 20,000 surroundings at a time
-        nxt = cuts[np.searchsorted(cuts, lo + 20_000)] if lo + 20_000 <= (cuts[-1] if len(cuts) else 0) else len(several)
+        nxt = cuts[min(np.searchsorted(cuts, lo + 20_000), len(cuts) - 1)]
         own = several[lo:nxt]
         lo = nxt
-        text = np.ascontiguousarray(block[own, :_WIDE])
+        first = np.repeat(owner[own][:, None], REACH, 1)
+        flat = np.ascontiguousarray(block[own, :_WIDE]).ravel()
         left, right = block[own, _WIDE].astype(int), block[own, _WIDE + 1].astype(int)
         row, before = np.nonzero((_OFFSETS[None, :] <= left[:, None]) & (WINDOW - _OFFSETS[None, :] <= right[:, None]))
         group = anchor[own][row] * REACH + before
         for depth in [*range(0, WINDOW - 8, 8), WINDOW - 8]:
             at = row * _WIDE + REACH - 1 - before + depth
-            flat = text.ravel()
             digit = np.zeros(len(at), np.uint64)
             for j in range(8):
                 digit = (digit << np.uint64(8)) | flat[at + j]
@@ -153,8 +169,14 @@ def _first_documents(block: np.ndarray, owner: np.ndarray) -> np.ndarray:
         if len(row):
             starts = np.flatnonzero(np.diff(group, prepend=-1))
             least = np.minimum.reduceat(owner[own[row]], starts)
-            first[own[row], before] = np.repeat(least, np.diff(np.append(starts, len(row))))
-    return first
+            first[row, before] = np.repeat(least, np.diff(np.append(starts, len(row))))
+        odd = (first != first[:, :1]).any(1)
+        one[own] = np.where(odd, -_NONE, first[:, 0])
+        rows.append(own[odd])
+        uneven.append(first[odd])
+    rows, uneven = np.concatenate(rows), np.concatenate(uneven)
+    order = np.argsort(rows)
+    return one, rows[order], uneven[order]
 
 
 def _binary(parts) -> pa.Array:
@@ -170,7 +192,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = plain(docs, id_col, text_col).toDF("id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(4, -(-size // GROUP))
-    buckets = max(4, groups // 4)
+    buckets = max(4, groups // 2)
     dealt = docs.where("id is not null").select("id", "text", F.expr(f"cast(pmod(xxhash64(id), {groups}) as int)").alias("g")).repartition(groups, "g")
     by_group = dealt.groupBy("g")
 
@@ -179,11 +201,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         hashed = np.unique(hashed)
         to = _bucket(hashed, buckets)
         used = np.unique(to)
-        return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([key[0].as_py()] * len(used), pa.int32()), "blob": _binary(hashed[to == b] for b in used)})
+        return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([key[0].as_py()] * len(used), pa.int32()), "blob": pa.array([_six(hashed[to == b]) for b in used], pa.binary())})
 
     def shared(key, tbl):
         blobs, g = tbl["blob"].to_pylist(), tbl["g"].to_numpy()
-        hashed = _array(blobs, np.uint64)
+        hashed = _from_six(blobs)
         order = np.argsort(hashed, kind="stable")
         h = hashed[order]
         twice = np.zeros(len(h), bool)
@@ -191,31 +213,32 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         twice[:-1] |= twice[1:]
         back = np.zeros(len(h), bool)
         back[order] = twice
-        ends = np.cumsum([len(b) // 8 for b in blobs])
+        ends = np.cumsum([len(b) // 6 for b in blobs])
         pieces = [x[m] for x, m in zip(np.split(hashed, ends[:-1]), np.split(back, ends[:-1]), strict=True)]
-        return pa.table({"g": pa.array(g, pa.int32()), "bucket": pa.array([-1] * len(g), pa.int32()), "blob": _binary(pieces), "extra": _binary([b""] * len(g))})
+        return pa.table({"g": pa.array(g, pa.int32()), "bucket": pa.array([-1] * len(g), pa.int32()), "blob": pa.array([_six(x) for x in pieces], pa.binary()), "extra": _binary([b""] * len(g))})
 
     def surround(key, tbl, answers):
         if not len(tbl):
             return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "blob": _binary([]), "docs": _binary([])})
-        *_, block, hashed, least = _surroundings(tbl, _array(answers["blob"].to_pylist(), np.uint64))
+        *_, block, hashed, least = _surroundings(tbl, _from_six(answers["blob"].to_pylist()))
         to = _bucket(hashed, buckets)
         used = np.unique(to)
-        return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([key[0].as_py()] * len(used), pa.int32()), "blob": _binary(block[to == b] for b in used), "docs": _binary(least[to == b] for b in used)})
+        return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([key[0].as_py()] * len(used), pa.int32()), "blob": pa.array([pa.compress(np.ascontiguousarray(block[to == b]), "zstd", asbytes=True) for b in used], pa.binary()), "docs": _binary(least[to == b] for b in used)})
 
     def sort(key, tbl):
-        block = _array(tbl["blob"].to_pylist(), np.uint8).reshape(-1, _WIDE + 2)
         blobs = tbl["docs"].to_pylist()
         owner = _array(blobs, np.int64)
-        kinds, number = np.unique(block.view(f"V{_WIDE + 2}").ravel(), return_inverse=True)
+        texts = [pa.decompress(x, len(d) // 8 * (_WIDE + 2), "zstd", asbytes=True) for x, d in zip(tbl["blob"].to_pylist(), blobs, strict=True)]
+        block = _array(texts, np.uint8)
+        kinds, number = np.unique(block.view(f"V{_WIDE + 2}"), return_inverse=True)
+        del texts, block
         least = np.full(len(kinds), _NONE)
         np.minimum.at(least, number, owner)
-        first = _first_documents(kinds.view(np.uint8).reshape(-1, _WIDE + 2), least)
-        even = (first == first[:, :1]).all(1)
+        one, rows, every = _first_documents(kinds.view(np.uint8).reshape(-1, _WIDE + 2), least)
         plain_first, uneven = [], []
         for part in np.split(number, np.cumsum([len(b) // 8 for b in blobs])[:-1]):
-            plain_first.append(np.where(even[part], first[part, 0], -_NONE))
-            uneven.append(first[part[~even[part]]])
+            plain_first.append(one[part])
+            uneven.append(every[np.searchsorted(rows, part[one[part] == -_NONE])])
         return pa.table({"g": tbl["g"].combine_chunks().cast(pa.int32()), "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "blob": _binary(plain_first), "extra": _binary(uneven)})
 
     def cut(key, tbl, answers):
@@ -223,23 +246,28 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             return pa.table({"id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": _binary([])})
         bucket = answers["bucket"].to_numpy()
         blobs, extra = answers["blob"].to_pylist(), answers["extra"].to_pylist()
-        ids, parts, (chunk, at, row, number), block, hashed, _ = _surroundings(tbl, _array([b for b, k in zip(blobs, bucket, strict=True) if k < 0], np.uint64))
-        first = np.full((len(block), REACH), _NONE)
+        ids, parts, (chunk, at, row, number), block, hashed, _ = _surroundings(tbl, _from_six([b for b, k in zip(blobs, bucket, strict=True) if k < 0]))
+        one, place, every, known = np.full(len(block), _NONE), np.zeros(len(block), np.int64), [], 0
         to = _bucket(hashed, buckets)
-        for b, one, more in zip(bucket, blobs, extra, strict=True):
+        for b, same, more in zip(bucket, blobs, extra, strict=True):
             if b >= 0:
-                mine, same = np.flatnonzero(to == b), np.frombuffer(one, np.int64)
-                first[mine] = same[:, None]
-                first[mine[same == -_NONE]] = np.frombuffer(more, np.int64).reshape(-1, REACH)
+                mine, same = np.flatnonzero(to == b), np.frombuffer(same, np.int64)
+                one[mine] = same
+                odd = mine[same == -_NONE]
+                place[odd] = known + np.arange(len(odd))
+                known += len(odd)
+                every.append(more)
+        every = np.concatenate([_array(every, np.int64).reshape(-1, REACH), np.zeros((1, REACH), np.int64)])
         left, right = block[:, _WIDE].astype(int), block[:, _WIDE + 1].astype(int)
-        whole = (_OFFSETS[None, :] <= left[:, None]) & (WINDOW - _OFFSETS[None, :] <= right[:, None])
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for k, (lo, data, offsets, *_rest) in enumerate(parts):
             change = np.zeros(len(data) + 1, np.int32)
             mine = np.flatnonzero(chunk == k)
-            for some in np.array_split(mine, max(1, len(mine) // 50_000)):
+            for some in np.array_split(mine, max(1, len(mine) // 20_000)):
                 n = number[some]
-                hit, before = np.nonzero(whole[n] & (first[n] < ids[lo + row[some]][:, None]))
+                first = np.where((one[n] == -_NONE)[:, None], every[place[n]], one[n][:, None])
+                whole = (_OFFSETS[None, :] <= left[n][:, None]) & (WINDOW - _OFFSETS[None, :] <= right[n][:, None])
+                hit, before = np.nonzero(whole & (first < ids[lo + row[some]][:, None]))
                 start = at[some][hit] - before
                 change += np.bincount(start, minlength=len(change)).astype(np.int32)
                 change -= np.bincount(start + WINDOW, minlength=len(change)).astype(np.int32)
