@@ -3,8 +3,10 @@
 Every class of equal shingle sets is posted once, under each (coordinate, value) of its signature's prefix. Two sets
 that agree in at least ``MATCHES`` of ``COORDINATES`` places must agree in one of the first
 ``COORDINATES - MATCHES + 1``, so only those are posted (prefix) and a pair belongs to the first of them in which it
-agrees (the others skip it). Inside a list the full collision count is taken, and a pair at or above ``MATCHES`` is
-confirmed on the full sets. A pair at Jaccard 0.75 falls below 22 of 48 with probability under 1e-5.
+agrees (the others skip it). Inside a list, members are in order of set size, so a member meets only those whose size
+allows the similarity (the rest is skipped unread). A byte sketch of the smallest hashes in ``BINS`` ranges is
+compared first, then the full collision count is taken, and a pair at or above ``MATCHES`` is confirmed on the full
+sets. A pair at Jaccard 0.75 falls below 22 of 48, or below the sketch's bound, with probability under 1e-5.
 
 Long lists never become pairs. First each list is compared with one member of its own (a star, linear); members that
 this links are one component afterwards. Then only members of different components are compared, in blocks of
@@ -33,6 +35,9 @@ WORDS = 5
 PERCENT = 75
 #: Rows of a posting list that one task compares with another such block.
 BLOCK = 2048
+BINS = 128
+#: Up to so many ids (16 bytes each) are sent to all tasks to pick texts; beyond, texts are joined by a shuffle.
+SENT_IDS = 1_000_000
 
 _seeds = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64)
 
@@ -62,8 +67,27 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return mix(out)
 
 
+_EDGES = np.arange(BINS, dtype=np.uint64) * np.uint64(2**64 // BINS)
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """A byte of the smallest hash in each range, 0 where there is none; ``hashes`` is sorted."""
+    at = np.searchsorted(hashes, _EDGES)
+    filled = np.append(at[1:], len(hashes)) > at
+    out = np.zeros(BINS, np.uint8)
+    out[filled] = (hashes[at[filled]] >> np.uint64(20)) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def _alike(sketches: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether two sketches leave the wanted similarity possible."""
+    either = np.count_nonzero(sketches | own, axis=1)
+    same = np.count_nonzero((sketches == own) & (own > 0), axis=1)
+    return (either < 16) | (100 * same >= np.where(either >= 96, 55, 42) * either)
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, digest of the set, signature) of each (id, text)."""
+    """(id, n_shingles, digest of the set, sketch, signature) of each (id, text)."""
 
     def each(batches):
         for batch in batches:
@@ -74,48 +98,56 @@ def features(docs: DataFrame) -> DataFrame:
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([_sketch(s) for s in sets], pa.binary()),
                     pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), COORDINATES).cast(pa.list_(pa.int64())),
                 ],
-                names=["id", "n_shingles", "digest", "sig"],
+                names=["id", "n_shingles", "digest", "sketch", "sig"],
             )
 
-    return docs.mapInArrow(each, "id long, n_shingles long, digest binary, sig array<long>")
+    return docs.mapInArrow(each, "id long, n_shingles long, digest binary, sketch binary, sig array<long>")
 
 
 def _fields(tbl):
-    """id, size, 32-bit signature rows of a posting list, in order of id."""
+    """id, size, sketch and 32-bit signature rows of a posting list, in order of size and id."""
     ids, n = tbl["id"].to_numpy(), tbl["n"].to_numpy()
+    sketch = np.frombuffer(b"".join(tbl["sketch"].to_pylist()), np.uint8).reshape(len(ids), BINS)
     sig = np.frombuffer(b"".join(tbl["short"].to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], n[order], sig[order], order
+    order = np.lexsort((ids, n))
+    return ids[order], n[order], sketch[order], sig[order], order
 
 
-def _fit(n_a, n_b):
-    """Sizes that allow the wanted similarity."""
-    return 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+def _reach(n: np.ndarray, own: int) -> tuple[int, int]:
+    """Range of the sorted sizes that allow the wanted similarity to a set of ``own``."""
+    return int(np.searchsorted(n, -(-PERCENT * own // 100))), int(np.searchsorted(n, 100 * own // PERCENT, "right"))
 
 
 def _star(key, tbl):
     """Pairs of one member of a list, chosen by hash, with the members that collide often enough."""
-    ids, n, sig, _ = _fields(tbl)
+    ids, n, sketch, sig, _ = _fields(tbl)
     hub = int(np.argmin(mix(ids.astype(np.uint64) * np.uint64(64) + np.uint64(key[0].as_py()))))
-    hit = ((sig == sig[hub]).sum(1) >= MATCHES) & _fit(n, n[hub])
-    hit[hub] = False
-    return pa.table({"a": pa.array(np.full(hit.sum(), ids[hub])), "b": pa.array(ids[hit])})
+    lo, hi = _reach(n, int(n[hub]))
+    hit = lo + np.flatnonzero(_alike(sketch[lo:hi], sketch[hub]))
+    hit = hit[((sig[hit] == sig[hub]).sum(1) >= MATCHES) & (hit != hub)]
+    return pa.table({"a": pa.array(np.full(len(hit), ids[hub])), "b": pa.array(ids[hit])})
 
 
 def _across(key, tbl):
     """Pairs from different components that collide often enough and agree first in this list's coordinate."""
     coord, left, right = key[0].as_py(), key[2].as_py(), key[3].as_py()
-    ids, n, sig, order = _fields(tbl)
+    ids, n, sketch, sig, order = _fields(tbl)
     comp, part = tbl["component"].to_numpy()[order], tbl["part"].to_numpy()[order]
     a, b = np.flatnonzero(part == left), np.flatnonzero(part == right)
+    n_b, sketch_b, comp_b = n[b], sketch[b], comp[b]
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for i in a:
-        j = b[(comp[b] != comp[i]) & (_fit(n[b], n[i]))] if left != right else b[(b > i) & (comp[b] != comp[i]) & _fit(n[b], n[i])]
-        same = sig[j] == sig[i]
-        j = j[(same.sum(1) >= MATCHES) & (same[:, : COORDINATES - MATCHES + 1].argmax(1) == coord)]
-        found.append((np.full(len(j), ids[i]), ids[j]))
+    for nth, i in enumerate(a):
+        lo, hi = _reach(n_b, int(n[i]))
+        if left == right:
+            lo = nth + 1
+        if lo < hi:
+            j = b[lo:hi][_alike(sketch_b[lo:hi], sketch[i]) & (comp_b[lo:hi] != comp[i])]
+            same = sig[j] == sig[i]
+            j = j[(same.sum(1) >= MATCHES) & (same[:, : COORDINATES - MATCHES + 1].argmax(1) == coord)]
+            found.append((np.full(len(j), ids[i]), ids[j]))
     x, y = (np.concatenate(z) for z in zip(*found, strict=True))
     return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
@@ -148,6 +180,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, sorted shingle hashes) of the documents in ``pairs``."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
 
     def each(batches):
         for batch in batches:
@@ -166,20 +200,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut_lineage(
         full.join(classes.select(F.col("digest").alias("d"), "class_id"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("class_id")))
         .dropDuplicates(["id"])
-        .select("id", F.col("n_shingles").alias("n"), "sig")
+        .select("id", F.col("n_shingles").alias("n"), "sketch", "sig")
     )
     prefix = COORDINATES - MATCHES + 1
     posts = reps.select("id", "n", "sig", F.posexplode(F.slice("sig", 1, prefix)).alias("coord", "value"))
     shared = posts.groupBy("coord", "value").agg(F.count("*").alias("length")).where("length > 1")
     short = F.expr("unhex(aggregate(sig, '', (s, x) -> s || right(lpad(hex(x), 16, '0'), 8)))")
-    signed = reps.select("id", short.alias("short"))
+    signed = reps.select("id", "sketch", short.alias("short"))
     lists = cut_lineage(posts.drop("sig").join(shared, ["coord", "value"]))
     rows = lists.join(signed, "id")
 
     # a list too long for one task is cut by hash; every block has its own hub, and all blocks meet in the second step
     parts = F.ceil(F.col("length") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id", "coord"), parts).cast("int")
-    stars = cut_lineage(rows.withColumn("part", part).select("coord", "value", "part", "id", "n", "short").groupBy("coord", "value", "part").applyInArrow(_star, "a long, b long").distinct())
+    stars = cut_lineage(rows.withColumn("part", part).select("coord", "value", "part", "id", "n", "sketch", "short").groupBy("coord", "value", "part").applyInArrow(_star, "a long, b long").distinct())
     sets = cut_lineage(_sets_of(docs, stars))
     first = cut_lineage(_confirm(stars, sets))
     merged = components(first)
@@ -187,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = lists.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("coord", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("coord", "value")
     open_ = labelled.join(mixed, ["coord", "value"]).join(signed, "id").withColumn("parts", parts).withColumn("part", part)
-    meet = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("coord", "value", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "id", "n", "short", "component", "part")
+    meet = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("coord", "value", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "id", "n", "sketch", "short", "component", "part")
     cross = cut_lineage(meet.groupBy("coord", "value", "left", "right").applyInArrow(_across, "a long, b long"))
     more = _confirm(cross, _sets_of(docs, cross))
     links = cut_lineage(first.unionAll(more))
