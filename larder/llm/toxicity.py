@@ -32,7 +32,7 @@ WORD_DIM, CHAR_DIM = 8, 12
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 15
 ATTEND = 8
 #: Labelled documents of each class that training reads at most.
-SAMPLE = 1500
+SAMPLE = 1200
 LIMIT = 0.7
 RARE = 6
 
@@ -59,8 +59,8 @@ class Text:
         for n in (3, 4, 5):
             many = np.maximum(size + 2 - n + 1, 0)
             spot = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            rows.append((range_hash(prefix, spot, spot + n) % np.uint64(CHAR_ROWS)).astype(np.int64))
-            owner.append(np.repeat(np.arange(len(size)), many))
+            rows.append((range_hash(prefix, spot, spot + n) % np.uint64(CHAR_ROWS)).astype(np.int32))
+            owner.append(np.repeat(np.arange(len(size), dtype=np.int32), many))
         rows, owner = np.concatenate(rows), np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
         self.char_row, self.char_owner = rows[order], owner[order]
@@ -97,7 +97,7 @@ def _gather(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows of ``values`` by index; negative indices are left out."""
     live = index >= 0
     width = values.shape[1]
-    spots = (index[live][:, None] * width + np.arange(width)).ravel()
+    spots = (index[live].astype(np.int64)[:, None] * width + np.arange(width)).ravel()
     return np.bincount(spots, values[live].ravel(), size * width).reshape(size, width).astype(np.float32)
 
 
@@ -120,20 +120,17 @@ class Network:
 
     def drop_rare(self, text: Text) -> None:
         """Inputs that stand in fewer than ``RARE`` training texts stay zero, so no single text can be learned."""
-        doc = np.repeat(np.arange(len(text.at) - 1), np.diff(text.at))
-        pairs = np.unique(np.stack([doc, text.word]), axis=1)
-        self.common = {}
-        for kind, rows in (("word", WORD_ROWS), ("char", CHAR_ROWS)):
-            if kind == "word":
-                d, row = pairs[0], text.word_row[pairs[1]]
-            else:
-                begin = np.cumsum(text.chars) - text.chars
-                many = text.chars[pairs[1]]
-                d = np.repeat(pairs[0], many)
-                row = text.char_row[np.repeat(begin[pairs[1]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            found = np.unique(d * rows + row) % rows
-            self.common[kind] = (np.bincount(found, minlength=rows) >= RARE).astype(np.float32)[:, None]
-            self.p[kind] *= self.common[kind]
+        begin = np.cumsum(text.chars) - text.chars
+        texts = {"word": np.zeros(WORD_ROWS, np.int64), "char": np.zeros(CHAR_ROWS, np.int64)}
+        for lo, hi in zip(text.at[:-1], text.at[1:], strict=True):
+            own = np.unique(text.word[lo:hi])
+            many = text.chars[own]
+            spot = np.repeat(begin[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            texts["word"][np.unique(text.word_row[own])] += 1
+            texts["char"][np.unique(text.char_row[spot])] += 1
+        self.common = {k: (n >= RARE).astype(np.float32)[:, None] for k, n in texts.items()}
+        for kind, mask in self.common.items():
+            self.p[kind] *= mask
 
     def inputs(self, text: Text) -> np.ndarray:
         p, n = self.p, len(text.word_row)
