@@ -107,49 +107,59 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "id long, n_shingles long, digest binary, sketch binary, sig array<long>")
 
 
-def _fields(tbl):
-    """id, size, sketch and 32-bit signature rows of a posting list, in order of size and id."""
-    ids, n = tbl["id"].to_numpy(), tbl["n"].to_numpy()
-    sketch = np.frombuffer(b"".join(tbl["sketch"].to_pylist()), np.uint8).reshape(len(ids), BINS)
-    sig = np.frombuffer(b"".join(tbl["short"].to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-    order = np.lexsort((ids, n))
-    return ids[order], n[order], sketch[order], sig[order], order
-
-
 def _reach(n: np.ndarray, own: int) -> tuple[int, int]:
     """Range of the sorted sizes that allow the wanted similarity to a set of ``own``."""
     return int(np.searchsorted(n, -(-PERCENT * own // 100))), int(np.searchsorted(n, 100 * own // PERCENT, "right"))
 
 
-def _star(key, tbl):
+def _star(coord, ids, n, sketch, sig, comp, part, left, right):
     """Pairs of one member of a list, chosen by hash, with the members that collide often enough."""
-    ids, n, sketch, sig, _ = _fields(tbl)
-    hub = int(np.argmin(mix(ids.astype(np.uint64) * np.uint64(64) + np.uint64(key[0].as_py()))))
+    hub = int(np.argmin(mix(ids.astype(np.uint64) * np.uint64(64) + np.uint64(coord))))
     lo, hi = _reach(n, int(n[hub]))
     hit = lo + np.flatnonzero(_alike(sketch[lo:hi], sketch[hub]))
     hit = hit[((sig[hit] == sig[hub]).sum(1) >= MATCHES) & (hit != hub)]
-    return pa.table({"a": pa.array(np.full(len(hit), ids[hub])), "b": pa.array(ids[hit])})
+    yield np.full(len(hit), ids[hub]), ids[hit]
 
 
-def _across(key, tbl):
+def _across(coord, ids, n, sketch, sig, comp, part, left, right):
     """Pairs from different components that collide often enough and agree first in this list's coordinate."""
-    coord, left, right = key[0].as_py(), key[2].as_py(), key[3].as_py()
-    ids, n, sketch, sig, order = _fields(tbl)
-    comp, part = tbl["component"].to_numpy()[order], tbl["part"].to_numpy()[order]
+    if (comp == comp[0]).all():
+        return
     a, b = np.flatnonzero(part == left), np.flatnonzero(part == right)
     n_b, sketch_b, comp_b = n[b], sketch[b], comp[b]
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for nth, i in enumerate(a):
         lo, hi = _reach(n_b, int(n[i]))
         if left == right:
             lo = nth + 1
         if lo < hi:
             j = b[lo:hi][_alike(sketch_b[lo:hi], sketch[i]) & (comp_b[lo:hi] != comp[i])]
-            same = sig[j] == sig[i]
-            j = j[(same.sum(1) >= MATCHES) & (same[:, : COORDINATES - MATCHES + 1].argmax(1) == coord)]
-            found.append((np.full(len(j), ids[i]), ids[j]))
-    x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+            if len(j):
+                same = sig[j] == sig[i]
+                j = j[(same.sum(1) >= MATCHES) & (same[:, : COORDINATES - MATCHES + 1].argmax(1) == coord)]
+                yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
+
+
+def _lists(pairs_of):
+    """Run ``pairs_of`` on each list of a group of lists; members are in order of size and id."""
+
+    def run(key, tbl):
+        name = {c: tbl[c].to_numpy() for c in ("value", "left", "right", "id", "n", "component", "part")}
+        order = np.lexsort((name["id"], name["n"], name["right"], name["left"], name["value"]))
+        value, left, right, ids, n, comp, part = (name[c][order] for c in name)
+        sketch = np.frombuffer(b"".join(tbl["sketch"].to_pylist()), np.uint8).reshape(len(ids), BINS)[order]
+        sig = np.frombuffer(b"".join(tbl["short"].to_pylist()), np.uint32).reshape(len(ids), COORDINATES)[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (value[1:] != value[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        cuts = np.append(np.flatnonzero(new), len(ids))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                own = slice(lo, hi)
+                found += pairs_of(key[0].as_py(), ids[own], n[own], sketch[own], sig[own], comp[own], part[own], left[lo], right[lo])
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pa.table({"a": pa.array(x), "b": pa.array(y)})
+
+    return run
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,10 +220,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = cut_lineage(posts.drop("sig").join(shared, ["coord", "value"]))
     rows = lists.join(signed, "id")
 
-    # a list too long for one task is cut by hash; every block has its own hub, and all blocks meet in the second step
+    # a list too long for one task is cut by hash; every block has its own hub, and all blocks meet in the second step.
+    # Short lists share a task: about ``BLOCK`` rows of one coordinate.
     parts = F.ceil(F.col("length") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id", "coord"), parts).cast("int")
-    stars = cut_lineage(rows.withColumn("part", part).select("coord", "value", "part", "id", "n", "sketch", "short").groupBy("coord", "value", "part").applyInArrow(_star, "a long, b long").distinct())
+    shares = max(1, lists.count() // (prefix * BLOCK))
+
+    def joined(rows: DataFrame, pairs_of) -> DataFrame:
+        share = F.pmod(F.xxhash64("value", "left", "right"), F.lit(shares)).alias("share")
+        chosen = rows.select("coord", share, "value", "left", "right", "id", "n", "component", "part", "sketch", "short")
+        return chosen.groupBy("coord", "share").applyInArrow(_lists(pairs_of), "a long, b long")
+
+    blocks = rows.withColumn("part", part).withColumn("left", F.col("part")).withColumn("right", F.col("part")).withColumn("component", F.col("id"))
+    stars = cut_lineage(joined(blocks, _star).distinct())
     sets = cut_lineage(_sets_of(docs, stars))
     first = cut_lineage(_confirm(stars, sets))
     merged = components(first)
@@ -221,8 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = lists.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("coord", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("coord", "value")
     open_ = labelled.join(mixed, ["coord", "value"]).join(signed, "id").withColumn("parts", parts).withColumn("part", part)
-    meet = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("coord", "value", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "id", "n", "sketch", "short", "component", "part")
-    cross = cut_lineage(meet.groupBy("coord", "value", "left", "right").applyInArrow(_across, "a long, b long"))
+    meet = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
+    cross = cut_lineage(joined(meet, _across))
     more = _confirm(cross, _sets_of(docs, cross))
     links = cut_lineage(first.unionAll(more))
 
