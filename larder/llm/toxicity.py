@@ -264,7 +264,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, batch: int = 256)
             bad = toxic[(prob[toxic] >= top[row[toxic]]) | (prob[toxic] > 0.9)]
             worst = clean[prob[clean] > 0.3]
             good = np.concatenate([clean, worst, worst])
-        take = min(8192, max(len(good), len(bad)))
+        take = min(8192, max(4096, len(good), len(bad)))  # small samples are repeated
         for _ in range(epochs):
             some = np.concatenate([r.choice(good, take, len(good) < take), r.choice(bad, take // 2, len(bad) < take // 2)])
             r.shuffle(some)
