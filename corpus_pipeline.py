@@ -37,11 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes or more that an earlier document has; a document of which nothing is left goes."""
-    cut = suffixes.cut_repeats(docs).where("n_removed > 0").select(F.col("id").alias("__id"), F.col("kept").alias("__kept"), F.col("n_bytes").alias("__n"), F.col("n_removed").alias("__gone"))
-    changed = cut_lineage(cut.dropDuplicates(["__id"]))
-    joined = docs.join(changed, docs.doc_id == changed["__id"], "left").where("__id is null or __gone < __n")
-    text = F.when(F.col("__id").isNull(), F.col("text")).otherwise(suffixes.readable(F.col("__kept")))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*docs.columns)
+    rest = [F.col(c) for c in docs.columns if c != "text"]
+    keyed = docs.withColumn("__row", F.struct(F.col("text").isNull().alias("__null"), *rest))
+    cut = suffixes.cut_repeats(keyed, carry="__row").where("n_removed = 0 or n_removed < n_bytes")
+    text = F.when(~F.col("__row.__null"), suffixes.readable(F.col("kept")))
+    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__row.n_chars"))
+    own = {"text": F.col("text"), "n_chars": length}
+    return cut.withColumn("text", text).select(*(own.get(c, F.col(f"__row.{c}")).alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

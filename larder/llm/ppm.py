@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.llm.common import plain, text_chunks
 
@@ -198,8 +199,8 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
             made = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=names)
 
-    kinds = f", `{carry}` {docs.schema[carry].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(each, f"id long, lang_pred string, score double, bits_per_byte double{kinds}")
+    result = StructType.fromDDL("id long, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(each, result.add(docs.schema[carry]) if carry else result)
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.llm.common import plain, prefix_hash, range_hash, text_bytes, text_chunks
 
@@ -187,13 +188,15 @@ def _array(blobs, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` is the remaining bytes."""
-    docs = plain(docs, id_col, text_col).toDF("id", "text")
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept) per row; ``kept`` is the remaining bytes, ``carry`` names a further
+    column that goes along and is returned under its name."""
+    more_names = ["carry"] if carry else []
+    docs = plain(docs, id_col, text_col, *([carry] if carry else [])).toDF("id", "text", *more_names)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(4, -(-size // GROUP))
     buckets = max(4, groups // 2)
-    dealt = docs.where("id is not null").select("id", "text", F.expr(f"cast(pmod(xxhash64(id), {groups}) as int)").alias("g")).repartition(groups, "g")
+    dealt = docs.where("id is not null").select("id", "text", *more_names, F.expr(f"cast(pmod(xxhash64(id), {groups}) as int)").alias("g")).repartition(groups, "g")
     by_group = dealt.groupBy("g")
 
     def send(key, tbl):
@@ -243,7 +246,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def cut(key, tbl, answers):
         if not len(tbl):
-            return pa.table({"id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": _binary([])})
+            return pa.table({"id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": _binary([])} | {c: tbl[c] for c in more_names})
         bucket = answers["bucket"].to_numpy()
         blobs, extra = answers["blob"].to_pylist(), answers["extra"].to_pylist()
         ids, parts, (chunk, at, row, number), block, hashed, _ = _surroundings(tbl, _from_six([b for b, k in zip(blobs, bucket, strict=True) if k < 0]))
@@ -283,16 +286,20 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i in range(len(offsets) - 1):
                 own = slice(offsets[i], offsets[i + 1])
                 kept.append(data[own][~gone[own]].tobytes())
-        return pa.table({"id": tbl["id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"id": tbl["id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())} | {c: tbl[c] for c in more_names})
 
     answer = "g int, bucket int, blob binary, extra binary"
     sent = by_group.applyInArrow(send, "bucket int, g int, blob binary")
     common = sent.groupBy("bucket").applyInArrow(shared, answer)
     around = by_group.cogroup(common.groupBy("g")).applyInArrow(surround, "bucket int, g int, blob binary, docs binary")
     firsts = around.groupBy("bucket").applyInArrow(sort, answer)
-    done = by_group.cogroup(common.unionAll(firsts).groupBy("g")).applyInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    whole = docs.where("id is null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("kept"))
-    return done.unionAll(whole)
+    result = StructType.fromDDL("id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    if carry:
+        result = result.add(docs.schema["carry"])
+    done = by_group.cogroup(common.unionAll(firsts).groupBy("g")).applyInArrow(cut, result)
+    whole = docs.where("id is null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.coalesce(F.encode("text", "utf-8"), F.lit(b"")).alias("kept"), *more_names)
+    out = done.unionAll(whole)
+    return out.withColumnRenamed("carry", carry) if carry else out
 
 
 def readable(kept):
