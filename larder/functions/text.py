@@ -40,8 +40,9 @@ def js_trim(x) -> Column:
 
 
 def strip_accents(x) -> Column:
-    # marks listed after the letters have no counterpart, so translate drops them
-    return F.translate(_c(x), ACCENTED + MARKS, PLAIN)
+    # marks listed after the letters have no counterpart, so translate drops them; plain ASCII needs no look at the table
+    x = _c(x)
+    return F.when(x.rlike("[^\\x00-\\x7F]"), F.translate(x, ACCENTED + MARKS, PLAIN)).otherwise(x)
 
 
 def norm_text(x) -> Column:
