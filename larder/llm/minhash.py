@@ -10,7 +10,8 @@ sets. A pair at Jaccard 0.75 falls below 22 of 48, or below the sketch's bound,
 
 Long lists never become pairs. First each list is compared with one member of its own (a star, linear); members that
 this links are one component afterwards. Then only members of different components are compared, in blocks of
-``BLOCK`` rows, so a hot list is many tasks, and a pair leaves a task only at or above ``MATCHES``.
+``BLOCK`` rows, so a hot list is many tasks. What such a task finds leaves it as one row a member with its partners at or
+above ``MATCHES``, never as pairs, and full sets are fetched once for a member and task; cells bound the sets in a task.
 
 Defined cases: null or empty text and text of blanks only has no shingles and links with nothing; fewer than five words
 are one shingle; repeated rows and equal texts are copies of one class; a null id is no document and is left out; an
@@ -36,6 +37,8 @@ PERCENT = 75
 #: Rows of a posting list that one task compares with another such block.
 BLOCK = 2048
 BINS = 128
+#: Shingle hashes of either side that one task confirms at once (a longer set is a cell of its own).
+CELL = 2_000_000
 #: Up to so many ids (16 bytes each) are sent to all tasks to pick texts; beyond, texts are joined by a shuffle.
 SENT_IDS = 1_000_000
 
@@ -139,7 +142,31 @@ def _across(coord, ids, n, sketch, sig, comp, part, left, right):
                 yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
 
 
-def _lists(pairs_of):
+def _as_pairs(key, ids, n, x, y):
+    return pa.table({"a": pa.array(x), "b": pa.array(y)})
+
+
+def _as_partners(key, ids, n, x, y):
+    """One row for each member of a pair, with its partners of larger id, in cells of bounded set size."""
+    every, at = np.unique(ids, return_index=True)
+    chunk = (np.cumsum(n[at]) - n[at]) // CELL
+    i, j = np.searchsorted(every, x), np.searchsorted(every, y)
+    cell = chunk[i] * (chunk.max(initial=0) + 1) + chunk[j]
+    left, right = cell * len(every) + i, cell * len(every) + j
+    order = np.argsort(left, kind="stable")
+    rows = np.unique(np.concatenate([left, right]))
+    begin = np.append(np.searchsorted(left[order], rows), len(left)).astype(np.int32)
+    columns = {
+        "coord": np.full(len(rows), key[0].as_py(), np.int32),
+        "share": np.full(len(rows), key[1].as_py(), np.int64),
+        "cell": rows // len(every),
+        "id": every[rows % len(every)],
+    }
+    partners = pa.ListArray.from_arrays(pa.array(begin), pa.array(y[order]))
+    return pa.table({c: pa.array(v) for c, v in columns.items()} | {"partners": partners})
+
+
+def _lists(pairs_of, shape):
     """Run ``pairs_of`` on each list of a group of lists; members are in order of size and id."""
 
     def run(key, tbl):
@@ -157,11 +184,38 @@ def _lists(pairs_of):
                 own = slice(lo, hi)
                 found += pairs_of(key[0].as_py(), ids[own], n[own], sketch[own], sig[own], comp[own], part[own], left[lo], right[lo])
         x, y = (np.concatenate(z) for z in zip(*found, strict=True))
-        return pa.table({"a": pa.array(x), "b": pa.array(y)})
+        return shape(key, ids, n, x, y)
 
     return run
 
 
+def _similar(hub: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Whether each set is similar enough to ``hub``; all are sorted and none is empty."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.searchsorted(hub, every)
+    at[at == len(hub)] = 0
+    both = np.add.reduceat((hub[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= PERCENT * (len(hub) + sizes - both)
+
+
+def _confirm_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of (id, partners) rows whose full sets are similar enough; each cell holds all sets it needs."""
+
+    def check(tbl):
+        own = {i: np.frombuffer(blob, np.uint64) for i, blob in zip(tbl["id"].to_pylist(), tbl["hashes"].to_pylist(), strict=True)}
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, partners in zip(tbl["id"].to_pylist(), tbl["partners"], strict=True):
+            partners = partners.values.to_numpy()
+            for lo in range(0, len(partners), 256):
+                some = partners[lo : lo + 256]
+                b.append(some[_similar(own[i], [own[j] for j in some.tolist()])])
+                a.append(np.full(len(b[-1]), i))
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    return members.join(sets, "id").groupBy("coord", "share", "cell").applyInArrow(check, "a long, b long")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough; a hub's partners are dealt over tasks of 256."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
@@ -172,24 +226,18 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def check(tbl):
         ids, blobs = tbl["b"].to_pylist(), tbl["hashes"].to_pylist()
         hub = np.frombuffer(blobs[ids.index(None)], np.uint64)
-        kept = []
-        for b, blob in zip(ids, blobs, strict=True):
-            if b is not None:
-                own = np.frombuffer(blob, np.uint64)
-                at = np.searchsorted(hub, own)
-                at[at == len(hub)] = 0
-                both = int((hub[at] == own).sum())
-                if 100 * both >= PERCENT * (len(hub) + len(own) - both):
-                    kept.append(b)
+        rest = [(b, np.frombuffer(blob, np.uint64)) for b, blob in zip(ids, blobs, strict=True) if b is not None]
+        good = _similar(hub, [own for _, own in rest])
+        kept = [b for (b, _), ok in zip(rest, good, strict=True) if ok]
         a = tbl["a"][0].as_py()
         return pa.table({"a": pa.array([a] * len(kept), pa.int64()), "b": pa.array(kept, pa.int64())})
 
     return members.unionByName(hubs).groupBy("a", "part").applyInArrow(check, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, sorted shingle hashes) of the documents in ``pairs``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, sorted shingle hashes) of the documents with these ids."""
+    ids = ids.distinct()
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)
 
@@ -226,14 +274,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = F.pmod(F.xxhash64("id", "coord"), parts).cast("int")
     shares = max(1, lists.count() // (prefix * BLOCK))
 
-    def joined(rows: DataFrame, pairs_of) -> DataFrame:
+    def joined(rows: DataFrame, pairs_of, shape, schema: str) -> DataFrame:
         share = F.pmod(F.xxhash64("value", "left", "right"), F.lit(shares)).alias("share")
         chosen = rows.select("coord", share, "value", "left", "right", "id", "n", "component", "part", "sketch", "short")
-        return chosen.groupBy("coord", "share").applyInArrow(_lists(pairs_of), "a long, b long")
+        return chosen.groupBy("coord", "share").applyInArrow(_lists(pairs_of, shape), schema)
 
     blocks = rows.withColumn("part", part).withColumn("left", F.col("part")).withColumn("right", F.col("part")).withColumn("component", F.col("id"))
-    stars = cut_lineage(joined(blocks, _star).distinct())
-    sets = cut_lineage(_sets_of(docs, stars))
+    stars = cut_lineage(joined(blocks, _star, _as_pairs, "a long, b long").distinct())
+    sets = cut_lineage(_sets_of(docs, stars.select("a").unionAll(stars.select("b")).toDF("id")))
     first = cut_lineage(_confirm(stars, sets))
     merged = components(first)
 
@@ -241,8 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("coord", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("coord", "value")
     open_ = labelled.join(mixed, ["coord", "value"]).join(signed, "id").withColumn("parts", parts).withColumn("part", part)
     meet = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
-    cross = cut_lineage(joined(meet, _across))
-    more = _confirm(cross, _sets_of(docs, cross))
+    cross = cut_lineage(joined(meet, _across, _as_partners, "coord int, share long, cell long, id long, partners array<long>"))
+    more = _confirm_cells(cross, _sets_of(docs, cross.select("id")))
     links = cut_lineage(first.unionAll(more))
 
     linked = components(links).withColumnRenamed("id", "class_id").withColumnRenamed("component", "linked")

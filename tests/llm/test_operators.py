@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larder.llm import chat, minhash, packing, pivots, ppm, suffixes, tiling, token_files, toxicity, url_models
@@ -72,6 +73,23 @@ def test_minhash_links_equal_brute_force(spark):
     assert got == {i: (len(s), comp[i], comp[i] == i) for i, s in enumerate(sets)}
 
 
+def test_minhash_partners_are_cut_into_cells(monkeypatch):
+    """Every pair is in one cell, with both members' rows; sets of a cell stay within twice the bound and one set."""
+    monkeypatch.setattr(minhash, "CELL", 10)
+    ids, n = np.arange(1, 41, dtype=np.int64), np.arange(1, 41, dtype=np.int64) % 7 + 1
+    x, y = (v + 1 for v in np.triu_indices(40, 1))
+    made = minhash._as_partners((pa.scalar(3), pa.scalar(5)), ids, n, x, y).to_pylist()
+    assert {(r["id"], p) for r in made for p in r["partners"]} == set(zip(x.tolist(), y.tolist(), strict=True))
+    assert sum(len(r["partners"]) for r in made) == len(x)
+    for cell in {r["cell"] for r in made}:
+        rows = [r for r in made if r["cell"] == cell]
+        members = {r["id"] for r in rows}
+        assert len(members) == len(rows) and all(p in members for r in rows for p in r["partners"])
+        assert sum(int(n[i - 1]) for i in members) <= 2 * (10 + 7)
+    empty = np.zeros(0, np.int64)
+    assert minhash._as_partners((pa.scalar(3), pa.scalar(5)), ids, n, empty, empty).num_rows == 0
+
+
 def test_minhash_long_lists_are_cut(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     words = [f"w{k}" for k in range(60)]
