@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,17 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed; workers outlive their tasks."""
+    if len(_powers.get("up", ())) > CHUNK + 64:
+        _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and the offset of each row (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):

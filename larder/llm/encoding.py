@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Pieces remembered by one worker, in each of two generations.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: A blank followed by white space.
 _ODD = [" " + c for c in " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from larder.llm.common import plain
+from larder.llm.common import give_back, plain
 from larder.llm.encoding import Encoder
 
 WINDOW = 2048
@@ -88,6 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = plain(docs, id_col, text_col)
 
     def each(batches):
+        give_back()
         encoder, packer = Encoder(tokenizer), Packer(window)
         end = np.array([end_id], encoder.kind)
         task, number = TaskContext.get().partitionId(), 0
@@ -120,5 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 if tokens >= group:
                     yield from flush()
         yield from flush()
+        del encoder, packer
+        give_back()
 
     return rows.mapInArrow(each, SCHEMA)
