@@ -15,6 +15,9 @@ from larder.operators.scaling import as_cols, keep_first
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order=None, keep=()) -> DataFrame:
     """Replace supplied fields of known keys and insert unknown keys.
 
+    A column that ``changes`` has is supplied, null included: the last change of a key sets it. Columns that
+    ``changes`` lacks keep their old value.
+
     One aggregation, no join: rows of both sides are tagged and reduced per key
     with map-side combine, so a key repeated in a third of the changes does not
     gather in one task. ``order`` decides between changes of one key (last wins);
@@ -31,9 +34,13 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], order=None, k
     both = old.unionByName(new)
     picked = []
     for c in values:
-        supplied = F.col(c).isNotNull()
-        pick = F.min_by if c in keep else F.max_by
-        picked.append(pick(c, F.when(supplied, F.col("__rank"))).alias(c))
+        if c in keep:
+            pick = F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__rank")))
+        elif c in changes.columns:
+            pick = F.max_by(c, "__rank")
+        else:
+            pick = F.max_by(c, F.when(F.col("__rank.new") == 0, F.col("__rank")))
+        picked.append(pick.alias(c))
     return both.groupBy(*keys).agg(*picked).select(*target.columns)
 
 

@@ -3,19 +3,13 @@
 The expensive step is 'name contains every term'. Product rows are first reduced
 to their distinct names, each with only the cheapest rows that could still be
 among the wanted k. That is exact: a row among the k cheapest of a term set is
-among the k cheapest of its own name. Term sets then meet the names in one of two
-ways, chosen by counting them (never a cross join):
-
-* few sets (bounded, counted): they travel as a literal inside the expression and
-  every name is tested once, with no shuffle;
-* many sets: names and sets are joined on a short piece of text (a gram), each set
-  filed under its rarest gram, and only pairs that share it are verified.
+among the k cheapest of its own name. Names and term sets are joined on a short piece
+of text (a gram), each set filed under its rarest gram, and only pairs that share it are
+verified. An empty set, or one of empty terms only, matches nothing.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +20,6 @@ from larder.operators.scaling import add_kept, keep_first, top_k
 from larder.session import cut_lineage
 
 GRAM = 3
-INLINE_SETS = 1_000
 ANY_TERM = 1_000  # variant number of the any-term fallback; real variants are 0, 1, 2
 
 
@@ -37,18 +30,10 @@ def grams(text: Column, n: int) -> Column:
     return F.when(last >= 1, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
-def match_inline(names: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """Test each name against a bounded list of term sets held in the expression."""
-    if not sets:
-        return names.withColumn("terms", F.array().cast("array<string>")).where(F.lit(False))
-    listed = F.from_json(F.lit(json.dumps(sets)), "array<array<string>>")  # folded to a constant
-    name = F.col("name")
-    hit = F.filter(listed, lambda terms: F.forall(terms, lambda t: name.contains(t)))
-    return names.withColumn("terms", F.explode(hit))
-
+def match_names(names: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``names`` (distinct ``name`` plus payload) beside each set of ``terms`` they contain.
 
-def match_by_gram(names: DataFrame, sets: DataFrame) -> DataFrame:
-    """Join names and term sets on the gram of the set that the fewest names hold.
+    Names and term sets are joined on the gram of the set that the fewest names hold.
 
     The gram comes from the longest term; shorter terms use pieces of their length.
     """
@@ -74,15 +59,7 @@ def match_by_gram(names: DataFrame, sets: DataFrame) -> DataFrame:
     return held.drop("held").join(names, "name")
 
 
-def match_names(names: DataFrame, sets: DataFrame, inline: int = INLINE_SETS) -> DataFrame:
-    """Rows of ``names`` (distinct ``name`` plus payload) beside each set of ``terms`` they contain."""
-    few = sets.select("terms").limit(inline + 1).collect()  # bounded: the switch between the two ways
-    if len(few) <= inline:
-        return match_inline(names, [r["terms"] for r in few])
-    return match_by_gram(names, sets)
-
-
-def cheapest_matches(products: DataFrame, sets: DataFrame, k: int, inline: int = INLINE_SETS) -> DataFrame:
+def cheapest_matches(products: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """The ``k`` cheapest products of each set of ``terms`` (ties by id).
 
     ``products`` needs id, price and match_key, the text searched in.
@@ -93,7 +70,7 @@ def cheapest_matches(products: DataFrame, sets: DataFrame, k: int, inline: int =
         .groupBy(F.col("match_key").alias("name"))
         .agg(F.collect_list(row).alias("rows"))  # at most k rows
     )
-    hits = match_names(names, sets, inline).select("terms", F.inline("rows"))
+    hits = match_names(names, sets).select("terms", F.inline("rows"))
     return top_k(hits, ["terms"], ["price", "id"], k)
 
 
@@ -120,12 +97,12 @@ def with_match_key(products: DataFrame) -> DataFrame:
     return products.withColumn("match_key", iota_canonical(F.lower("normalized_name")))
 
 
-def candidates(products: DataFrame, queries: DataFrame, limit: int = 100, inline: int = INLINE_SETS) -> DataFrame:
+def candidates(products: DataFrame, queries: DataFrame, limit: int = 100) -> DataFrame:
     """Candidates of every query: the ``limit`` cheapest per variant, each product owned by
     its first variant; any-term matches only where no variant found a product."""
     variants = query_variants(queries)
     sets = variants.select(F.col("searched").alias("terms")).distinct()
-    best = cheapest_matches(with_match_key(products), sets, limit, inline).withColumnRenamed("terms", "searched")
+    best = cheapest_matches(with_match_key(products), sets, limit).withColumnRenamed("terms", "searched")
     owned = keep_first(best.join(variants, "searched"), ["qid", "id"], ["variant"]).drop("searched")
     per_query = Window.partitionBy("qid")
     fallback = F.col("variant") == ANY_TERM

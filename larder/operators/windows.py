@@ -65,11 +65,8 @@ def busy_keys(hits: DataFrame, keys: list[str]) -> DataFrame:
     return pair.where(F.col("count") + F.coalesce("more", F.lit(0)) > F.col("limit")).select(*keys).distinct()
 
 
-def admit(hits: DataFrame, keys: list[str], most: int = 1_000) -> DataFrame:
-    """Adds ``admitted`` to hits with columns keys, event_id, t, window (microseconds), limit.
-
-    ``most`` is the largest limit in use.
-    """
+def admit(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``admitted`` to hits with columns keys, event_id, t, window (microseconds), limit."""
     busy = cut_lineage(busy_keys(hits, keys))
     contested = hits.join(busy, keys, "left_semi")
     points = cut_lineage(contested.select(*keys, "window", "t").distinct())
@@ -84,6 +81,7 @@ def admit(hits: DataFrame, keys: list[str], most: int = 1_000) -> DataFrame:
     before = at.select(*keys, (F.col("bucket") + 1).alias("bucket"), F.col("anchor").alias("before"))
     both = placed.join(same, [*keys, "bucket"], "left").join(before, [*keys, "bucket"], "left")
     anchor = F.when(F.col("same") <= F.col("t"), F.col("same")).otherwise(F.col("before"))
+    most = contested.agg(F.max("limit")).first()[0] or 0  # one number: no window admits more
     first = top_k(both.withColumn("anchor", anchor), [*keys, "anchor"], ["t", "event_id"], most, rank="place")
     let_in = first.where("place <= limit").select(*keys, "event_id", F.lit(True).alias("in_window"))
     calm = busy.withColumn("contested", F.lit(True))

@@ -54,15 +54,14 @@ def shop(spark):
     return items, products
 
 
-def test_gram_join_equals_inline_and_brute_force(spark, shop):
+def test_gram_join_equals_brute_force(spark, shop):
     items, products = shop
     sets = [["γαλα"], ["φρέσκο", "γάλα"], ["ab"], ["a"], ["ice", "rice"], ["νερό"], ["μήλο"]]
-    table = spark.createDataFrame([(s,) for s in sets], "terms array<string>")
+    table = spark.createDataFrame([(s,) for s in [*sets, [], [""]]], "terms array<string>")  # the last two match nothing
     names = products.select("name").distinct()
     want = sorted((tuple(s), n) for s in sets for n in {i[1] for i in items} if all(t in n for t in s))
-    for limit in (0, 100):
-        got = search.match_names(names, table, inline=limit).select("terms", "name")
-        assert sorted((tuple(t), n) for t, n in got.collect()) == want
+    got = search.match_names(names, table).select("terms", "name")
+    assert sorted((tuple(t), n) for t, n in got.collect()) == want
 
 
 def test_cheapest_matches_is_exact_for_a_hot_name(spark, shop):
@@ -70,10 +69,9 @@ def test_cheapest_matches_is_exact_for_a_hot_name(spark, shop):
     sets = [["φρέσκο"], ["μήλο"], ["rice"]]
     table = spark.createDataFrame([(s,) for s in sets], "terms array<string>")
     keyed = products.withColumn("match_key", F.col("name"))
-    for inline in (0, 100):
-        got = search.cheapest_matches(keyed, table, 7, inline).select("terms", "id")
-        want = [(tuple(s), i[0]) for s in sets for i in sorted((i for i in items if all(t in i[1] for t in s)), key=lambda i: (i[3], i[0]))[:7]]
-        assert sorted((tuple(t), i) for t, i in got.collect()) == sorted(want)
+    got = search.cheapest_matches(keyed, table, 7).select("terms", "id")
+    want = [(tuple(s), i[0]) for s in sets for i in sorted((i for i in items if all(t in i[1] for t in s)), key=lambda i: (i[3], i[0]))[:7]]
+    assert sorted((tuple(t), i) for t, i in got.collect()) == sorted(want)
 
 
 def brute_search(items, variants, score):
@@ -146,6 +144,12 @@ def test_windows_by_doubling(spark, hits, limit, width):
     assert rows(got) == replay(hits, limit, width)
 
 
+def test_windows_admit_more_than_a_thousand(spark):
+    """A limit above a thousand is kept: 1,200 of 1,500 hits of one window."""
+    df = spark.range(1500).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.col("id").alias("t"), F.lit(10_000).cast("long").alias("window"), F.lit(1200).alias("limit"))
+    assert windows.admit(df, ["user_id"]).where("admitted").count() == 1200
+
+
 def test_windows_by_stream_over_several_batches(spark, hits, tmp_path):
     ordered = sorted(hits, key=lambda h: (h[2], h[0]))
     for n, part in enumerate((ordered[:300], ordered[300:700], ordered[700:])):
@@ -158,10 +162,12 @@ def test_windows_by_stream_over_several_batches(spark, hits, tmp_path):
 
 # --- tables ------------------------------------------------------------------------------
 
-def test_upsert_keeps_unsupplied_fields_and_last_change(spark):
+def test_upsert_sets_supplied_nulls_and_keeps_absent_columns(spark):
     target = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, name string, n int")
     changes = spark.createDataFrame([(1, None, 7, 1), (1, "c", None, 2), (3, "d", 8, 1), (3, "e", 9, 0)], "k int, name string, n int, pos int")
-    assert rows(catalog.upsert(target, changes, ["k"], ["pos"])) == [(1, "c", 7), (2, "b", 6), (3, "d", 8)]
+    assert rows(catalog.upsert(target, changes, ["k"], ["pos"])) == [(1, "c", None), (2, "b", 6), (3, "d", 8)]
+    part = catalog.upsert(target, changes.drop("name"), ["k"], ["pos"])
+    assert rows(part) == [(1, "a", None), (2, "b", 6), (3, None, 8)]
     kept = catalog.upsert(target, changes, ["k"], ["pos"], keep=("name",))
     assert rows(kept.select("k", "name")) == [(1, "a"), (2, "b"), (3, "e")]
 
@@ -175,6 +181,18 @@ def test_upsert_stream_over_batches(spark, tmp_path):
     assert got[:2] == [(1, "c"), (2, "b")] and got[2][0] == 3
 
 
+@pytest.mark.parametrize("files", [1, 2, 4])
+def test_upsert_stream_does_not_depend_on_batches(spark, tmp_path, files):
+    base = spark.createDataFrame([(1, 2, "base")], "k int, price int, note string")
+    log = [(1, 3, "x", 1), (1, 4, None, 2), (2, 5, "y", 3), (2, None, "z", 4)]
+    for n in range(files):
+        part = log[n * 4 // files : (n + 1) * 4 // files]
+        spark.createDataFrame(part, "k int, price int, note string, pos int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, price int, note string, pos int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {tuple(r) for r in jobs.upsert_stream(stream, ["k"], ["pos"], base).collect()}
+    assert got == {(1, 4, None), (2, None, "z")}
+
+
 def test_insert_if_absent_hot_key(spark):
     target = spark.createDataFrame([("old",)], "k string")
     new = spark.createDataFrame([(i, "hot" if i % 2 else "old" if i % 4 else f"n{i}") for i in range(40)], "id int, k string")
