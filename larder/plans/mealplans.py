@@ -44,8 +44,15 @@ def plan_inputs(spark, d):
     return lines, summary
 
 
-def priced_list(spark, d):
-    return mealplan.price_plans(*plan_inputs(spark, d), tables.products(spark, d))
+def whole_inputs(spark, d):
+    """All lines; summary names that no plan has come from the parts, under a name of their own."""
+    part = tables.table(spark, d, "part")
+    extra = part.where("p_partkey % 5 = 0").select((F.col("p_partkey") % 50).alias("plan_id"), F.concat(F.lower("p_name"), F.lit(" unlisted")).alias("ingredient"))
+    return tables.ingredients(spark, d), plan_inputs(spark, d)[1].unionByName(extra)
+
+
+def priced_list(spark, d, inputs=plan_inputs):
+    return mealplan.price_plans(*inputs(spark, d), tables.products(spark, d))
 
 
 @query("agg_ingredient_totals", f"WITH {TOTALS} SELECT * FROM totals", V)
@@ -69,13 +76,51 @@ def sort_found_first(spark, d):
     return priced_list(spark, d).select("plan_id", "found", "ingredient").orderBy("plan_id", F.desc("found"), "ingredient")
 
 
-@query("agg_shopping_stats", f"""WITH {SHOPPING} SELECT plan_id, count(*) AS total_ingredients, count(*) FILTER (WHERE found) AS found_in_db,
+STATS = f"""WITH {SHOPPING} SELECT plan_id, count(*) AS total_ingredients, count(*) FILTER (WHERE found) AS found_in_db,
     count(*) FILTER (WHERE NOT found) AS not_found, floor(CAST(coalesce(sum(CAST(cost AS DECIMAL(18,2))) FILTER (WHERE found), 0) AS DOUBLE) * 100 + 0.5) / 100 AS estimated_cost,
-    CAST(floor(CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*) * 100 + 0.5) AS BIGINT) AS coverage_percent FROM shopping GROUP BY plan_id""", V)
+    CAST(floor(CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*) * 100 + 0.5) AS BIGINT) AS coverage_percent FROM shopping GROUP BY plan_id"""
+
+
+@query("agg_shopping_stats", STATS, V)
 def agg_shopping_stats(spark, d):
     return mealplan.shopping_stats(priced_list(spark, d))
 
 
+def whole(sql):
+    """``sql`` over all ingredient lines and the further summary names."""
+    for cut, all_of in ((" WHERE plan_id % 7 <> 3 OR NOT contains(raw, 'red')", ""), ("FROM part WHERE p_partkey % 9 = 0)", """FROM part WHERE p_partkey % 9 = 0
+    UNION SELECT DISTINCT p_partkey % 50, lower(p_name) || ' unlisted' FROM part WHERE p_partkey % 5 = 0)""")):
+        assert sql.count(cut) == 1
+        sql = sql.replace(cut, all_of)
+    return sql
+
+
+@query("agg_ingredient_totals_whole", f"WITH {whole(TOTALS)} SELECT * FROM totals", V)
+def agg_ingredient_totals_whole(spark, d):
+    return mealplan.ingredient_totals(*whole_inputs(spark, d))
+
+
+@query("join_tiered_price_whole", f"WITH {whole(PRICES)} SELECT ingredient, tier, product_id, price, store FROM prices", V)
+def join_tiered_price_whole(spark, d):
+    prices = mealplan.best_prices(mealplan.ingredient_totals(*whole_inputs(spark, d)), tables.products(spark, d))
+    return prices.select("ingredient", "tier", "product_id", "price", "store")
+
+
+@query("join_shopping_list_whole", f"WITH {whole(SHOPPING)} SELECT plan_id, ingredient, total_grams, found, cost, store, product_name FROM shopping", V)
+def join_shopping_list_whole(spark, d):
+    return priced_list(spark, d, whole_inputs).select("plan_id", "ingredient", "total_grams", "found", "cost", "store", "product_name")
+
+
+@query("sort_found_first_whole", f"WITH {whole(SHOPPING)} SELECT plan_id, found, ingredient FROM shopping", V)
+def sort_found_first_whole(spark, d):
+    return priced_list(spark, d, whole_inputs).select("plan_id", "found", "ingredient").orderBy("plan_id", F.desc("found"), "ingredient")
+
+
+@query("agg_shopping_stats_whole", whole(STATS), V)
+def agg_shopping_stats_whole(spark, d):
+    return mealplan.shopping_stats(priced_list(spark, d, whole_inputs))
+
+
 ADJ = ["hot", "red", "new", "blue", "large", "small", "cold", "zzz"]
 NOUN = ["gear", "bolt", "plate", "anvil", "rod", "gizmo", "ring", "qqq"]
 sql_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"

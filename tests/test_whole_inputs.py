@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from larder.plans import load_all
+from larder.sources import tables
 
 
 def documents(spark, folder, texts):
@@ -29,3 +32,12 @@ def test_section_split_keeps_text_after_300_characters(spark, tmp_path):
         if r.doc_id % 3 == 2:
             want = want[0], "rest Εκτέλεση:" + text[half:].strip(" ")
         assert (r.ingredients, r.instructions) == (want[0], want[1])
+
+
+def test_plan_totals_have_every_ingredient_line(spark, sf_dir):
+    totals = load_all()["agg_ingredient_totals_whole"].run(spark, sf_dir)
+    got = {r.plan_id: r.n for r in totals.groupBy("plan_id").agg(F.sum("n_lines").alias("n")).collect()}
+    want = {r.plan_id: r["count"] for r in tables.ingredients(spark, sf_dir).groupBy("plan_id").count().collect()}
+    assert {k: got[k] for k in want} == want
+    assert totals.where("plan_id % 7 = 3 and ingredient like '%red%' and n_lines > 0").count() > 0
+    assert totals.where("ingredient like '% unlisted' and total_grams = 0 and n_lines = 0").count() > 0
