@@ -1,10 +1,11 @@
 """URL filter by the ratio of two character language models.
 
 Stated rules (host, path prefix) decide first; the longest that fits wins. The urls they decide also teach the method:
-for accepted and for rejected urls, the counts of all strings of ``ORDER + 1`` characters (one shuffle with map-side
-sums; the ``NODES`` most frequent of each class are the bounded model, shorter strings are sums of them) give a
-variable-order Markov model with Witten-Bell smoothing, down to equal characters. A url's score is the difference of
-its two log-likelihoods for each character. The threshold is calibrated on a fifth of the decided urls, chosen by a
+for accepted and for rejected urls, the counts of all strings of one to ``ORDER + 1`` characters give a variable-order
+Markov model with Witten-Bell smoothing, down to equal characters. The model is a table and is never gathered: the
+distinct strings of the urls to judge are joined with it one length at a time, where a row meets at most as many others
+as there are characters, and their values go back to blocks of urls, whose distinct strings are what is sent.
+A url's score is the difference of its two log-likelihoods for each character. The threshold is calibrated on a fifth of the decided urls, chosen by a
 hash of the url and kept out of the counts: the score that best separates the two classes there (ties: nearest 0). A
 url at or above the threshold is allowed.
 
@@ -20,13 +21,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import plain
+from larder.session import cut_lineage
 
 ORDER = 4
-NODES = 100_000
+#: Urls that are scored together: two to this power, neighbours in the table.
+BLOCK_BITS = 10
+CLASSES = ("allow", "block")
 FLOOR = math.log(1 / 65536)
 PAD = "\x02"
 #: Bins of the calibration histogram, over scores from -4 to 4.
@@ -91,44 +95,67 @@ class Markov:
         return math.log(p)
 
 
-def fit(urls: DataFrame) -> dict[str, dict[str, int]]:
-    """Counts by class of (class, url), cut to the most frequent."""
-    first = Window.partitionBy("class").orderBy(F.col("n").desc(), "string")
-    top = count_strings(urls).withColumn("r", F.row_number().over(first)).where(F.col("r") <= NODES).select("class", "string", "n").toArrow().to_pylist()
-    out: dict[str, dict[str, int]] = {}
-    for row in top:
-        out.setdefault(row["class"], {})[row["string"]] = row["n"]
-    return out
-
-
-def ratio(rows: DataFrame, counts: dict[str, dict[str, int]]) -> DataFrame:
+def fit(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Model of (class, url): (part, n_allow, n_block), the counts of every string of one to ``ORDER + 1`` characters,
+    and (context, total_allow, kinds_allow, ...), how often and by how many characters each context is followed."""
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring("string", k, F.lit(ORDER + 1)))
+    counts = count_strings(urls).select("class", F.explode(ends).alias("part"), "n").groupBy("part").agg(
+        *(F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n_{c}") for c in CLASSES))
+    parts = cut_lineage(counts)
+    followed = parts.groupBy(_context().alias("context")).agg(
+        *(F.sum(f"n_{c}").alias(f"total_{c}") for c in CLASSES), *(F.count_if(F.col(f"n_{c}") > 0).alias(f"kinds_{c}") for c in CLASSES))
+    return parts, cut_lineage(followed)
+
+
+def _context() -> Column:
+    return F.substring("part", F.lit(1), F.length("part") - 1)
+
+
+def differences(asked: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(string, difference of log probabilities of its last character) of the distinct strings of ``asked``."""
+    parts, followed = model
+    below = None
+    for k in range(1, ORDER + 2):
+        ends = asked.select(F.right("string", F.lit(k)).alias("part")).distinct()
+        rows = ends.select("part", _context().alias("context"), F.right("part", F.lit(k - 1)).alias("end"))
+        rows = rows.join(parts.where(F.length("part") == k), "part", "left").join(followed.where(F.length("context") == k - 1), "context", "left")
+        rows = rows.join(below, "end", "left") if below is not None else rows.select("*", *(F.lit(math.exp(FLOOR)).alias(f"below_{c}") for c in CLASSES))
+        p = []
+        for c in CLASSES:
+            kinds, shorter = F.coalesce(f"kinds_{c}", F.lit(0)), F.col(f"below_{c}")
+            own = F.try_divide(F.coalesce(f"n_{c}", F.lit(0)) + kinds * shorter, F.col(f"total_{c}") + kinds)
+            p.append(F.when(kinds > 0, own).otherwise(shorter).alias(f"below_{c}"))
+        below = rows.select(F.col("part").alias("end"), *p)
+    return below.select(F.col("end").alias("string"), (F.log("below_allow") - F.log("below_block")).alias("difference"))
+
+
+def ratio(rows: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(all columns of ``rows``, score); the text column is ``url``."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts if {"allow", "block"} <= set(counts) else None)
-    columns = rows.columns
-    at = columns.index("url")
-
-    def each(batches):
-        models = {k: Markov(v) for k, v in sent.value.items()} if sent.value else None
-        known: dict[str, float] = {}
-        for batch in batches:
-            scores = []
-            for url in batch.column(at).to_pylist():
-                if not url or models is None:
-                    scores.append(0.0)
-                    continue
-                padded, total = PAD * ORDER + url, 0.0
-                for i in range(len(url)):
-                    string = padded[i : i + ORDER + 1]
-                    if string not in known:
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[string] = models["allow"].log(string) - models["block"].log(string)
-                    total += known[string]
-                scores.append(total / len(url))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*columns, "score"])
+    both = model[0].agg(*(F.coalesce(F.max(f"n_{c}"), F.lit(0)).alias(c) for c in CLASSES)).first()
+    if not (both.allow and both.block):
+        return rows.withColumn("score", F.lit(0.0))
+    kept = cut_lineage(rows.withColumn("__block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+    starts = F.sequence(F.lit(1), F.length("url"))
+    strings = F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(_padded(F.col("url")), i, F.lit(ORDER + 1)))))
+    asked = cut_lineage(kept.where(F.length("url") > 0).select("__block", strings.alias("string")).distinct())
+    found = asked.join(differences(asked.select("string").distinct(), model), "string")
+    names = [c for c in kept.columns if c != "__block"]
+
+    def each(urls, strings):
+        known = dict(zip(strings.column("string").to_pylist(), strings.column("difference").to_pylist()))
+        scores = []
+        for url in urls.column("url").to_pylist():
+            if not url:
+                scores.append(0.0)
+                continue
+            padded, total = PAD * ORDER + url, 0.0
+            for i in range(len(url)):
+                total += known[padded[i : i + ORDER + 1]]
+            scores.append(total / len(url))
+        return urls.select(names).append_column("score", pa.array(scores, pa.float64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(each, f"{schema}, score double")
+    return kept.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(each, f"{schema}, score double")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -154,9 +181,10 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     verdict = F.lit(None).cast("string")
     for rule, what in rules:
         verdict = F.when(F.col("rule") == rule, F.lit(what)).otherwise(verdict)
-    decided = ruled.where("rule is not null").select(verdict.alias("class"), "url")
+    ruled = ruled.withColumn("class", verdict)
     aside = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    counts = fit(decided.where(~aside))
-    threshold = calibrate(ratio(decided.where(aside), counts))
+    model = fit(ruled.where("rule is not null").where(~aside).select("class", "url"))
+    scored = cut_lineage(ratio(ruled, model))
+    threshold = calibrate(scored.where("rule is not null").where(aside).select("class", "score"))
     by_method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    return ratio(ruled, counts).select("id", "host", "path", "rule", F.coalesce(verdict, by_method).alias("verdict"), "score")
+    return scored.select("id", "host", "path", "rule", F.coalesce("class", by_method).alias("verdict"), "score")
