@@ -1,8 +1,8 @@
 """Language identification by prediction by partial matching (PPM) over bytes.
 
 One pass counts, per language, every byte string of one to ``ORDER + 1`` bytes of all training texts (per-task counts
-merge in a shuffle, so the counting grows with the corpus and no text reaches the driver). The most frequent
-``NODES`` strings of full length per language and all shorter ones under them are the context tree, a bounded model.
+merge in a shuffle, so the counting grows with the corpus and no text reaches the driver). All of them are the context
+tree; it is gathered and sent to the tasks, and grows with the distinct strings of ``ORDER + 1`` bytes, not with the text.
 Escape probabilities are PPM method C: in a context seen t times with d different next bytes, a byte seen c times has
 probability c / (t + d), and the escape to the next shorter context d / (t + d); below the empty context all 256 bytes
 are equal. A context never seen is left without cost. Statistics are frozen: scoring updates nothing, so the code
@@ -11,23 +11,21 @@ looked up by walking the tree for all bytes of a batch at once.
 
 The language with the shortest code wins (ties: the first in order of name); ``score`` is its posterior probability
 under equal priors. Null text and text without a letter are ``und`` with score 0. A table without training rows
-gives ``und`` for all. Rows keep their multiplicity; other columns are ignored. Memory of a task is one model of at
-most languages x ``NODES`` nodes and its longest document.
+gives ``und`` for all. Rows keep their multiplicity; other columns are ignored. Memory of a task is one model, with
+an entry for each context and byte value that occur, and its longest document.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from larder.llm.common import plain, text_chunks
 
 ORDER = 3
-#: Most frequent full-length strings kept for each language.
-NODES = 40_000
 UNKNOWN = "und"
 
 
@@ -75,10 +73,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """Language -> array of (gram, count), the frozen statistics."""
     rows = plain(docs, lang_col, text_col).toDF("lang", "text").where("lang is not null and text is not null")
-    counted = count_grams(rows)
-    first = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    top = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= NODES).select("lang", "gram", "n")
-    table = top.toArrow()
+    table = count_grams(rows).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
     langs = np.array(table["lang"].to_pylist(), object)
     return {lang: np.stack([table["gram"].to_numpy()[langs == lang], table["n"].to_numpy()[langs == lang]], 1) for lang in sorted(set(langs.tolist()))}
 

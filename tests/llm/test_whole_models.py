@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import url_models
+from larder.llm import ppm, url_models
 
 
 def test_url_scores_are_of_all_strings(spark):
@@ -27,3 +27,14 @@ def test_url_scores_are_of_all_strings(spark):
     for r in rows:
         want = [models["allow"].log(s) - models["block"].log(s) for s in strings(r.url)] if r.url else [0]
         assert r.score == pytest.approx(sum(want) / len(want), abs=1e-9)
+
+
+def test_language_model_has_all_strings(spark):
+    rng, want = random.Random(8), Counter()
+    texts = [bytes(rng.choices(range(0x61, 0x7B), k=50)).decode() for _ in range(2000)]
+    for t in texts:
+        b = b"\0" * ppm.ORDER + t.encode()
+        want.update(int.from_bytes(b[i : i + ppm.ORDER + 1], "big") for i in range(len(t)))
+    docs = spark.createDataFrame([("xx", t) for t in texts] + [("yy", "other")], "lang string, text string").repartition(4)
+    model = ppm.fit(docs)
+    assert len(want) > 40_000 and dict(model["xx"].tolist()) == want and len(model["yy"]) == 5
