@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, minhash, packing, pivots, ppm, suffixes, tiling, token_files, toxicity, turns, url_models
+from larder.llm import chat, minhash, negatives, packing, pivots, ppm, suffixes, tiling, token_files, toxicity, turns, url_models
 from larder.llm.common import plain, table
 from larder.session import scratch_path
 
@@ -133,3 +133,33 @@ def run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ids.join(found, ids["conv_id"].eqNullSafe(found["found_id"]), "left")
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+HARD_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+    SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other_id, a.label = b.label AS own,
+           CAST(list_sum(list_transform(range(1, len(a.v) + 1), i -> a.v[i] * b.v[i])) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT ar, anchor_id, other_id AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id) AS place
+    FROM pairs WHERE own QUALIFY place <= 5),
+banded AS (
+    SELECT p.anchor_id, p.positive_id, n.other_id AS negative_id, p.positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.ar, p.place ORDER BY n.score DESC, n.other_id) AS rank
+    FROM positives p JOIN pairs n ON n.ar = p.ar AND NOT n.own AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+    QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM banded
+"""
+
+
+@query("op13_kronecker_negatives", HARD_SQL)
+def kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = plain(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved))
