@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, minhash, negatives, packing, pivots, ppm, suffixes, tiling, token_files, toxicity, turns, url_models
+from larder.llm import chat, minhash, negatives, packing, pivots, ppm, quality, suffixes, tiling, token_files, toxicity, turns, url_models
 from larder.llm.common import plain, table
 from larder.session import scratch_path
 
@@ -135,6 +135,14 @@ def run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@query("op12_passage_attention")
+def passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), ppm.held_out("doc_id", 4, 2)
+    texts, labels = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), ~held, label_col="quality", sample=quality.SAMPLE)
+    scored = quality.score(docs, quality.train(texts, labels)).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.LIMIT).cast("int").alias("predicted"), "passages", "heaviest", "weight")
+
+
 HARD_SQL = """
 WITH usable AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
