@@ -179,10 +179,25 @@ def html_card_extract(spark, d):
         "page_id", "name", "normalized_name", "price", "old_price", "is_on_sale", "is_1plus1", "image_url")
 
 
+@query("store_card_extract", """
+    WITH p AS (SELECT p_partkey AS k, p_partkey % 8 AS s, p_partkey // 8 % 2 = 0 AS card, p_partkey // 16 % 3 AS bare, p_partkey % 3 = 0 AS sale, * FROM part),
+    r AS (SELECT *, CASE WHEN s = 0 THEN p_brand || ' ' || p_name ELSE p_name END AS shown, CASE WHEN s = 6 THEN 'https://galaxias.shop/api/media/' ELSE 'https://img.example.com/' END AS folder FROM p),
+    -- without a card element: one store's names count as their own wrappers and hold nothing, another's link and heading are lifted to two
+    places AS (SELECT r.*, unnest(CASE WHEN card THEN [0] WHEN s = 0 THEN [] WHEN s = 1 AND bare = 1 THEN [0, 1] ELSE [0] END) AS pos FROM r)
+    SELECT k AS page_id, pos, shown AS name, lower(shown) AS normalized_name,
+      ['ΑΒ Βασιλόπουλος', 'Σκλαβενίτης', 'Κρητικός', 'MyMarket', 'Μασούτης', 'Market In', 'Γαλαξίας', 'Lidl'][s + 1] AS supermarket, p_size + CAST(0.5 AS DOUBLE) AS price,
+      CASE WHEN sale AND s <> 6 THEN CAST(99 AS DOUBLE) END AS old_price, sale AS is_on_sale, sale AND s = 0 AS is_1plus1,
+      CASE WHEN s <> 7 THEN folder || CAST(k AS VARCHAR) || '.jpg' END AS image_url, CASE WHEN s = 7 THEN '1.1. - 7.1.' END AS validity_date,
+      CASE WHEN s = 7 AND sale THEN '-30%' END AS discount_percent FROM places""")
+def store_card_extract(spark, d):
+    """Products of listing pages of all stores; half of the pages show no card of their store."""
+    return html.extract_cards(tables.store_pages(spark, d))
+
+
 @query("html_link_extract", """
     SELECT DISTINCT page_id, href FROM v_links WHERE href LIKE '/%' AND href NOT LIKE '%,%'""", ("v_links",))
 def html_link_extract(spark, d):
-    links = tables.links(spark, d)
+    links = html.page_links(tables.table(spark, d, "pages")).select("page_id", "href")
     return links.where(F.startswith(F.col("href"), F.lit("/")) & ~F.col("href").contains(",")).distinct()
 
 

@@ -112,6 +112,12 @@ STORE_SELECTORS = {
     },
 }
 ANY_NAME = 'h2, h3, h4, [class*="title"], [data-qa-label*="title"]'
+ANY_PRICE = '[class*="price"]'
+#: What a name or price stands in where a page shows no card of its store.
+WRAPPER = (
+    'article, li, .product, [data-testid^="product"], .relative, div[data-mkey], div.item, .product-card, '
+    ".s-grid__item, .product-grid-box"
+)
 LAZY = ["data-src", "data-lazy-src", "data-original", "data-lazy", "srcset", "data-srcset"]
 CARD_FIELDS = ["name", "title", "brand", "data", "whole", "fraction", "price", "discounted", "old_price", "validity"]
 CARD_SCHEMA = (
@@ -120,72 +126,107 @@ CARD_SCHEMA = (
 )
 
 
-def selector_registry(spark) -> DataFrame:
+def selector_registry(spark, stores: dict | None = None) -> DataFrame:
     """The selector table as rows, for joins and reports."""
-    rows = [(store, field, sel) for store, table in STORE_SELECTORS.items() for field, sel in table.items()]
+    rows = [(store, field, sel) for store, table in (stores or STORE_SELECTORS).items() for field, sel in table.items()]
     return spark.createDataFrame(rows, "store string, field string, selector string")
 
 
-def _card_row(card, sel):
-    text = lambda f: (lambda n: n.text() if n is not None else None)(card.first(sel[f])) if f in sel else None
-    data = card.first(sel["data"]) if "data" in sel else None
-    title = card.first(ANY_NAME)
-    price = text("price") if "price" in sel else None
-    if price is None:
-        node = card.first('[class*="price"]')
-        price = node.text() if node is not None else None
-    image = (card.first(sel["image"]) if "image" in sel else None) or card.first("img")
+def selector_matches(pages: DataFrame, stores: dict | None = None) -> DataFrame:
+    """(store, field, matches, pages): elements that each selector of each store matches, and the pages that show any.
+
+    Every page is walked once for all selectors. A batch sends one row for each selector that matched in it.
+    """
+    stores = stores or STORE_SELECTORS
+
+    def run(batches):
+        every = dom.Selectors({(store, field): sel for store, table in stores.items() for field, sel in table.items()})
+        for batch in batches:
+            many: dict = {}
+            for text in batch["html"]:
+                for key, places in every.walk(dom.parse(text)).found.items():
+                    matches, shown = many.get(key, (0, 0))
+                    many[key] = matches + len(places), shown + 1
+            yield pd.DataFrame([(*key, *n) for key, n in many.items()], columns=["store", "field", "matches", "pages"])
+
+    found = pages.select("html").mapInPandas(run, "store string, field string, matches long, pages long")
+    sums = found.groupBy("store", "field").agg(F.sum("matches").alias("matches"), F.sum("pages").alias("pages"))
+    known = selector_registry(pages.sparkSession, stores).select("store", "field")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return known.join(sums, ["store", "field"], "left").select("store", "field", zero("matches"), zero("pages"))
+
+
+def _store_selectors(store: str) -> dom.Selectors:
+    return dom.Selectors(STORE_SELECTORS[store] | {"any_name": ANY_NAME, "any_price": ANY_PRICE, "any_image": "img", "wrapper": WRAPPER})
+
+
+def _card_places(page: dom.Page) -> list[int]:
+    """The store's cards; where a page has none, what its names (else its prices) stand in."""
+    return page.all("card") or page.lifted("name" if page.all("name") else "price", "wrapper")
+
+
+def _card_row(page: dom.Page, card: int, store: str):
+    def text(key):
+        node = page.first(key, card)
+        return node.text() if node is not None else None
+
+    values = {f: text(f) for f in CARD_FIELDS if f not in ("title", "data")}
+    data = page.first("data", card)
+    values["data"] = data.attrs.get("data-google-analytics-item-param") if data is not None else None
+    values["title"] = text("any_name")
+    if values["price"] is None and store != "MyMarket":
+        values["price"] = text("any_price")
+    image = page.first("image", card) or page.first("any_image", card)
     attr = lambda a: image.attrs.get(a) if image is not None else None
-    values = {
-        "name": text("name"), "title": title.text() if title is not None else None, "brand": text("brand"),
-        "data": data.attrs.get("data-google-analytics-item-param") if data is not None else None,
-        "whole": text("whole"), "fraction": text("fraction"), "price": price,
-        "discounted": text("discounted"), "old_price": text("old_price"), "validity": text("validity"),
-    }
-    promos = [n.text() for n in card.all(sel["promo"])] if "promo" in sel else []
+    promos = [page.nodes[k].text() for k in page.all("promo", card)]
     return [values[f] for f in CARD_FIELDS] + [promos, attr("src")] + [attr(a) for a in LAZY]
 
 
-def raw_cards(pages: DataFrame, store: str, key: str = "page_id") -> DataFrame:
-    key_type = pages.schema[key].dataType.simpleString()
-    sel = STORE_SELECTORS[store]
-    columns = [key, "pos"] + [f"{f}_text" for f in CARD_FIELDS] + ["promos", "src"] + [a.replace("-", "_") for a in LAZY]
+def raw_cards(pages: DataFrame, key: str = "page_id", store: str = "store") -> DataFrame:
+    """Texts and attributes of every card of pages that name their store; pages of other stores have none."""
+    types = [pages.schema[c].dataType.simpleString() for c in (key, store)]
+    columns = [key, store, "pos"] + [f"{f}_text" for f in CARD_FIELDS] + ["promos", "src"] + [a.replace("-", "_") for a in LAZY]
 
     def run(batches):
+        compiled = {}
         for batch in batches:
             rows = []
-            for ident, text in zip(batch[key], batch["html"]):
-                for pos, card in enumerate(dom.parse(text).all(sel["card"])):
-                    rows.append([ident, pos] + _card_row(card, sel))
+            for ident, name, text in zip(batch[key], batch[store], batch["html"]):
+                if name in STORE_SELECTORS:
+                    page = compiled.setdefault(name, _store_selectors(name)).walk(dom.parse(text))
+                    rows += [[ident, name, pos] + _card_row(page, card, name) for pos, card in enumerate(_card_places(page))]
             yield pd.DataFrame(rows, columns=columns)
 
-    return pages.select(key, "html").mapInPandas(run, f"{key} {key_type}, {CARD_SCHEMA}")
+    return pages.select(key, store, "html").mapInPandas(run, f"{key} {types[0]}, {store} {types[1]}, {CARD_SCHEMA}")
 
 
-def extract_cards(pages: DataFrame, store: str, key: str = "page_id") -> DataFrame:
-    """Product records of one store's pages; rows without a name or a positive price are dropped."""
-    cards = raw_cards(pages, store, key)
+def extract_cards(pages: DataFrame, store: str | None = None, key: str = "page_id", store_col: str = "store") -> DataFrame:
+    """Product records of listing pages, of one store or of the store that each page names.
+
+    Rows without a name or a positive price are dropped.
+    """
+    if store is not None:
+        pages = pages.select(key, "html", F.lit(store).alias(store_col))
+    cards = raw_cards(pages, key, store_col)
+    of = lambda name: F.col(store_col) == name
     data_name = F.get_json_object("data_text", "$.name")
     data_price = F.get_json_object("data_text", "$.price")
     shown = F.coalesce(F.nullif("name_text", F.lit("")), F.col("title_text"))
-    branded = STORE_SELECTORS[store].get("brand") is not None
-    name = strip_packaging_words(
-        brand_name(data_name, F.col("brand_text") if branded else F.lit(None).cast("string"), "name_text", shown)
-    )
+    name = strip_packaging_words(brand_name(data_name, "brand_text", "name_text", shown))
     listed = F.coalesce(
         F.when(F.col("discounted_text").isNotNull(), parse_price("discounted_text")),
         split_price(data_price, "whole_text", "fraction_text", unit_price_guard("price_text")),
     )
     old = parse_price("old_price_text")
-    if store == "Μασούτης":  # the start price is an old price only beside a discounted one
-        old = F.when(F.col("discounted_text").isNotNull(), old)
+    # at one store the start price is an old price only beside a discounted one
+    old = F.when(~of("Μασούτης") | F.col("discounted_text").isNotNull(), old)
     flags = promo_flags("promos")
     lazy = [a.replace("-", "_") for a in LAZY[:4]]
-    cut = F.get("promos", 0) if store == "Lidl" else F.lit(None).cast("string")
+    cut = F.when(of("Lidl"), F.nullif(F.trim(F.get("promos", 0)), F.lit("")))
     return (
         cards.select(
             key, "pos", name.alias("name"), norm_text(name).alias("normalized_name"),
-            F.lit(store).alias("supermarket"), listed.alias("price"), old.alias("old_price"),
+            F.col(store_col).alias("supermarket"), listed.alias("price"), old.alias("old_price"),
             (flags["is_on_sale"] | F.col("discounted_text").isNotNull() | cut.isNotNull()).alias("is_on_sale"),
             flags["is_1plus1"].alias("is_1plus1"),
             image_choice("src", *lazy, srcset="srcset", data_srcset="data_srcset").alias("image_url"),
@@ -195,29 +236,81 @@ def extract_cards(pages: DataFrame, store: str, key: str = "page_id") -> DataFra
     )
 
 
-# Least number of elements a listing page must show, by check.
-SITE_CONTRACTS = [
-    ("Product cards present", 'article, .offer-item, .product-item, [class*="product"]', 3),
-    ("Images loading", "img", 3),
-]
+def page_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page, pos, href) of every link of every page, taken from its tags."""
+    key_type = pages.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [(ident, pos, href) for ident, text in zip(batch[key], batch["html"]) for pos, href in enumerate(dom.links(text))]
+            yield pd.DataFrame(rows, columns=[key, "pos", "href"])
+
+    return pages.select(key, "html").mapInPandas(run, f"{key} {key_type}, pos int, href string")
+
+
+# Least number of elements each site's listing page must show, by check.
+SITE_CONTRACTS = {
+    "Lidl GR": [
+        ("Product cards present", 'article, .offer-item, .product-item, [class*="product"]', 3),
+        ("Images loading", "img", 3),
+    ],
+    "AB Βασιλόπουλος": [
+        ("Product cards present", '[class*="product"], .product-card, article', 3),
+        ("Images loading", "img[src]", 3),
+    ],
+    "Σκλαβενίτης": [
+        ("Product cards present", '[class*="product"], .product-tile, article', 3),
+        ("Images loading", "img", 3),
+    ],
+    "My Market": [("Product cards present", '[class*="product"], .item, article', 3)],
+}
 
 
 def contract_counts(pages: DataFrame, contracts, key: str = "page_id") -> DataFrame:
-    """(page, check, expected, got): elements each selector matches on each page."""
+    """(page, check, expected, got): elements each selector matches on each page, counted in one walk."""
     key_type = pages.schema[key].dataType.simpleString()
     checks = list(contracts)
 
     def run(batches):
+        every = dom.Selectors({k: sel for k, (_, sel, _) in enumerate(checks)})
         for batch in batches:
             rows = []
             for ident, text in zip(batch[key], batch["html"]):
-                root = dom.parse(text)
-                rows += [(ident, label, least, len(root.all(sel))) for label, sel, least in checks]
+                page = every.walk(dom.parse(text))
+                rows += [(ident, label, least, len(page.all(k))) for k, (label, _, least) in enumerate(checks)]
             yield pd.DataFrame(rows, columns=[key, "check", "expected", "got"])
 
     return pages.select(key, "html").mapInPandas(run, f"{key} {key_type}, check string, expected int, got int")
 
 
+def site_contracts(pages: DataFrame, contracts: dict | None = None, site: str = "site") -> DataFrame:
+    """(site, check, passed, failed): pages of each site that show enough elements for its checks, and pages that do not.
+
+    A page is walked once for its own site's checks; a site without pages has zeros, pages of other sites count nowhere.
+    """
+    contracts = contracts or SITE_CONTRACTS
+
+    def run(batches):
+        every = {name: dom.Selectors({k: sel for k, (_, sel, _) in enumerate(checks)}) for name, checks in contracts.items()}
+        for batch in batches:
+            many: dict = {}
+            for name, text in zip(batch[site], batch["html"]):
+                if name not in every:
+                    continue
+                page = every[name].walk(dom.parse(text))
+                for k, (label, _, least) in enumerate(contracts[name]):
+                    passed, failed = many.get((name, label), (0, 0))
+                    good = len(page.all(k)) >= least
+                    many[name, label] = passed + good, failed + (not good)
+            yield pd.DataFrame([(*key, *n) for key, n in many.items()], columns=["site", "check", "passed", "failed"])
+
+    found = pages.select(site, "html").mapInPandas(run, "site string, check string, passed long, failed long")
+    sums = found.groupBy("site", "check").agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
+    known = pages.sparkSession.createDataFrame([(name, label) for name, checks in contracts.items() for label, _, _ in checks], "site string, check string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return known.join(sums, ["site", "check"], "left").select("site", "check", zero("passed"), zero("failed"))
+
+
 # --- recipe sites -----------------------------------------------------------
 
 RECORD_SCHEMA = """title string, description string, image string, servings_text string, time_raw string,

@@ -259,3 +259,91 @@ def lines(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     )
+
+
+# One listing page of a store as its pages show a product: {n} name, {e} euros, {b} brand, {sale}: only where the product is on sale.
+# ``card`` has the store's own card element, ``bare`` only names and prices, so the card has to be found from them.
+LISTINGS = {
+    "ΑΒ Βασιλόπουλος": (
+        '<div data-testid="product-block">{inner}</div>',
+        '<i data-testid="product-brand">{b}</i><a data-testid="product-name">{n}</a><b data-testid="product-block-price">{e} 50</b>'
+        '{sale<s data-testid="product-block-old-price">99 00</s><u data-testid="tag-promo-label">1+1 δώρο</u>}'
+        '<picture><img data-src="https://img.example.com/{k}.jpg" src="data:image/gif;base64,R0"></picture>',
+    ),
+    "Σκλαβενίτης": (
+        '<div class="product-list"><div>{inner}</div></div>',
+        '<h4><a>{n}</a></h4><span class="price">{e},50 €</span>{sale<del>99,00 €</del><i class="offer-span">-20%</i>}'
+        '<figure><img src="https://img.example.com/{k}.jpg"></figure>',
+    ),
+    "Κρητικός": (
+        '<div class="x ProductListItem_productItem__a1">{inner}</div>',
+        '<p class="ProductListItem_title__b2">{n} ΣΥΣΚΕΥΑΣΙΑ</p><p class="ProductListItem_finalPrice__c3">{e}.50€</p>'
+        '{sale<p class="ProductListItem_beginPrice__d">99,00€</p><p class="ProductListItem_badge__e">SUPER</p>}'
+        '<img class="ProductListItem_productImage__f" src="https://img.example.com/{k}.jpg">',
+    ),
+    "MyMarket": (
+        '<article class="product--teaser">{inner}</article>',
+        '<span class="line-clamp-2">{n}</span><i class="teaser-display-price-whole">{e}</i><i class="teaser-display-price-fraction">50</i>'
+        '{sale<s class="diagonal-line">99,00€</s><i class="product-note-tag">-10%</i>}<picture><img src="https://img.example.com/{k}.jpg"></picture>',
+    ),
+    "Μασούτης": (
+        '<div class="product">{inner}</div>',
+        '<b class="productTitle">{n}</b>{sale<i class="pDscntPrice">{e},50€</i><i class="pStartPrice">99,00€</i>|<i class="pStartPrice">{e},50€</i>}'
+        '<img srcset="https://img.example.com/{k}.jpg 2x, b.jpg">',
+    ),
+    "Market In": (
+        '<div class="product-grid-box">{inner}</div>',
+        '<p class="product-ttl">{n}</p><p class="new-price">{e},50€ / κιλό</p>{sale<p class="old-price">99,00</p><p class="disc-value">-5%</p>}'
+        '<p class="product-thumb"><img src="https://img.example.com/{k}.jpg"></p>',
+    ),
+    "Γαλαξίας": (
+        "<product-card>{inner}</product-card>",
+        '<a class="text-black-i">{n}</a><span style="color: rgb(2, 88, 165)">{e},50</span>{sale<p class="bg-secondary text-primary">-7%</p>}'
+        '<img src="https://galaxias.shop/api/media/{k}.jpg">',
+    ),
+    "Lidl": (
+        '<div class="odsc-tile">{inner}</div>',
+        '<p class="product-grid-box__title">{n}</p><p class="ods-price__value">{e}.50</p>'
+        '{sale<p class="ods-price__strikethrough"><i class="ods-price__value">99.00</i></p><p class="ods-price__box-content-text-el">-30%</p>}'
+        '<p class="ods-badge__label">1.1. - 7.1.</p>',
+    ),
+}
+#: What a product stands in where the page has no card element: a list item, a plain box three above its name, a grid item.
+BARE = ["<ul><li>{inner}</li></ul>", "<section><div><p>{inner}</p></div></section>", '<div class="s-grid__item"><div>{inner}</div></div>']
+
+
+def store_pages(spark, sf_dir) -> DataFrame:
+    """(page_id, store, html): a listing page for each part at one of the eight stores; every second round of pages has no card element."""
+    part = table(spark, sf_dir, "part")
+    key, stores = F.col("p_partkey"), list(LISTINGS)
+    sale = key % 3 == 0
+
+    def filled(text: str):
+        """Column of a template's text."""
+        values = {"n": F.col("p_name"), "e": F.col("p_size").cast("string"), "b": F.col("p_brand"), "k": key.cast("string")}
+        out, rest = [], text
+        while "{" in rest:
+            plain, rest = rest.split("{", 1)
+            out.append(F.lit(plain))
+            if rest.startswith("sale"):
+                depth, end = 1, 4
+                while depth:
+                    depth += {"{": 1, "}": -1}.get(rest[end], 0)
+                    end += 1
+                shown, _, other = rest[4 : end - 1].partition("|")
+                out.append(F.when(sale, filled(shown)).otherwise(filled(other)))
+                rest = rest[end:]
+            else:
+                name, rest = rest.split("}", 1)
+                out.append(values[name])
+        return F.concat(*out, F.lit(rest))
+
+    page = F.lit(None).cast("string")
+    for k, (card, inner) in enumerate(LISTINGS.values()):
+        bare = F.get(F.array(*(filled(b.replace("{inner}", inner)) for b in BARE)), F.floor(key / 16).cast("int") % 3)
+        # the second card has no price that counts
+        body = F.concat(filled(card.replace("{inner}", inner)), filled(card.replace("{inner}", "<h3>no price</h3>")))
+        page = F.when(key % 8 == k, F.when(F.floor(key / 8) % 2 == 0, body).otherwise(bare)).otherwise(page)
+    store = F.get(F.array(*map(F.lit, stores)), (key % 8).cast("int"))
+    html = F.concat(F.lit("<!DOCTYPE html><html><body><nav><a href='/'>Home</a></nav><main>"), page, F.lit("</main></body></html>"))
+    return part.select(key.alias("page_id"), store.alias("store"), html.alias("html"))
