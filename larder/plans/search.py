@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from larder.functions import search as fs
 from larder.functions.dates import epoch_micros
 from larder.functions.text import as_text, greeklish_to_greek, iota_canonical, norm_text
-from larder.operators import search
-from larder.operators.scaling import add_kept, top_k
+from larder.operators import fulltext, search
+from larder.operators.scaling import add_kept, keep_first, top_k
 from larder.plans.registry import query
 from larder.sources import tables
 
@@ -170,6 +170,35 @@ def fulltext_score(spark, d):
     return add_kept(r, "s", score, lambda s: s > 0).select("id", (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("score"))
 
 
+#: Searches as users type them: the first three words of each conversation; of one in ten only the first letter.
+SEARCHES = """v_searches AS (SELECT conv_id AS qid, CASE WHEN conv_id % 10 = 0 THEN left(text, 1) ELSE array_to_string(string_split(text, ' ')[1:3], ' ') END AS q
+      FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1)"""
+
+
+def user_searches(spark, d):
+    first = keep_first(tables.table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text"), ["conv_id"], ["turn"])
+    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    return first.select(F.col("conv_id").alias("qid"), F.when(F.col("conv_id") % 10 == 0, F.left("text", F.lit(1))).otherwise(words).alias("q"))
+
+
+@query("recipe_search", f"""
+    WITH {SEARCHES},
+    f AS (SELECT id, created_at, {TOKENS.format('title')} AS tt, {TOKENS.format("array_to_string(ingredients, ' ')")} AS ti, {TOKENS.format('description')} AS td FROM v_recipes),
+    w AS (SELECT id, 10 AS weight, len(tt) AS n, unnest(tt) AS term FROM f UNION ALL SELECT id, 5, len(ti), unnest(ti) FROM f UNION ALL SELECT id, 1, len(td), unnest(td) FROM f),
+    h AS (SELECT id, weight, n, term, count(*) AS hits FROM w GROUP BY ALL),
+    a AS (SELECT DISTINCT qid, unnest({TOKENS.format('q')}) AS term FROM v_searches WHERE length(q) >= 2),
+    fs AS (SELECT qid, id, weight, (CAST(sum(hits) AS DOUBLE) / any_value(n) + 0.5) * weight AS part FROM a JOIN h USING (term) GROUP BY qid, id, weight),
+    s AS (SELECT qid, id, floor((coalesce(sum(part) FILTER (WHERE weight = 10), 0) + coalesce(sum(part) FILTER (WHERE weight = 5), 0)
+      + coalesce(sum(part) FILTER (WHERE weight = 1), 0)) * 10000 + 0.5) / 10000 AS score FROM fs GROUP BY qid, id)
+    SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, created_at DESC, id) AS rank, id, score FROM s JOIN f USING (id) QUALIFY rank <= 20
+    UNION ALL SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY created_at DESC, id) AS rank, id, CAST(NULL AS DOUBLE)
+      FROM v_searches JOIN v_recipes ON contains(lower(title || ' ' || array_to_string(ingredients, ' ')), lower(q)) WHERE length(q) = 1 AND trim(q) <> '' QUALIFY rank <= 20""", ("v_recipes",))
+def recipe_search(spark, d):
+    """Best 20 recipes of every user search."""
+    records = tables.recipes(spark, d).withColumn("ingredients", F.concat_ws(" ", "ingredients"))
+    return fulltext.search(records, user_searches(spark, d), "created_at", 20, title="title", ingredients="ingredients", description="description")
+
+
 @query("norm_text", "SELECT doc_id, trim(strip_accents(lower(text)), chr(32) || chr(10)) AS norm FROM documents")
 def norm(spark, d):
     return tables.table(spark, d, "documents").select("doc_id", norm_text("text").alias("norm"))
