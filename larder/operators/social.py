@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.dates import days_left
-from larder.operators.scaling import keep_first
+from larder.operators.scaling import keep_first, top_k
 
 
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -61,6 +61,11 @@ def allowed_keys(own, friends) -> Column:
     return F.array_distinct(F.filter(every, lambda k: F.coalesce(k, F.lit("")) != ""))
 
 
+def wanted_keys(requests: DataFrame) -> DataFrame:
+    """(request_id, k) of requests (request_id, own, room)."""
+    return requests.select("request_id", F.explode(room_keys(F.col("own"), F.array("room"))).alias("k")).distinct()
+
+
 def visible_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     """Messages each request may read.
 
@@ -69,27 +74,76 @@ def visible_messages(messages: DataFrame, requests: DataFrame) -> DataFrame:
     The OR of three conditions is written as one equi-join on a lookup key that
     both sides build, so it never becomes a nested loop.
     """
-    key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
-    wanted = requests.select(
-        "request_id",
-        F.explode(
-            F.array_distinct(
-                F.array(
-                    key("group", F.col("room"), F.col("room")),
-                    key("direct", F.col("own"), F.col("room")),
-                    key("direct", F.col("room"), F.col("own")),
-                )
-            )
-        ).alias("k"),
-    ).distinct()
-    filed = messages.withColumn(
-        "k",
-        F.when(F.col("target_key").isNull(), key("group", F.col("share_key"), F.col("share_key"))).otherwise(
-            key("direct", F.col("share_key"), F.col("target_key"))
-        ),
-    )
     # a message has one key and a request holds each key once, so no pair repeats
-    return filed.join(wanted, "k").drop("k")
+    return _filed(messages).join(wanted_keys(requests), "k").drop("k")
+
+
+def _filed(messages: DataFrame) -> DataFrame:
+    """Messages with the one lookup key they are found under."""
+    key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    group = key("group", F.col("share_key"), F.col("share_key"))
+    return messages.withColumn("k", F.when(F.col("target_key").isNull(), group).otherwise(key("direct", F.col("share_key"), F.col("target_key"))))
+
+
+def oldest_of_keys(messages: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """(request_id, id, rn): the oldest ``most`` messages of each request's lookup keys; ``wanted`` has (request_id, k).
+
+    A request's oldest messages lie among the oldest of its keys, so each key is cut to ``most`` messages before the
+    join. A room of any length sends at most that many rows on.
+    """
+    filed = _filed(messages).select("k", "created_at", "id")
+    few = top_k(filed, ["k"], ["created_at", "id"], most)
+    found = few.join(wanted.select("request_id", "k").distinct(), "k")
+    return top_k(found, ["request_id"], ["created_at", "id"], most, rank="rn").select("request_id", "id", "rn")
+
+
+def clean_keys(keys) -> Column:
+    """Keys trimmed, upper case, blanks dropped."""
+    return F.filter(F.transform(keys, lambda k: F.upper(F.trim(k.cast("string")))), lambda k: F.coalesce(k, F.lit("")) != "")
+
+
+def room_keys(own: Column, rooms: Column) -> Column:
+    """Lookup keys of group messages of rooms and of direct messages between ``own`` and them, either way."""
+    key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    each = F.transform(rooms, lambda r: F.array(key("group", r, r), key("direct", own, r), key("direct", r, own)))
+    return F.array_distinct(F.flatten(each))
+
+
+def group_history(messages: DataFrame, requests: DataFrame, most: int = 200, most_keys: int = 25) -> DataFrame:
+    """(request_id, refused, id, rn): history of a request's rooms together, oldest ``most`` first.
+
+    ``requests`` has (request_id, own, friends, keys). The first ``most_keys`` of the asked keys count, the own key if
+    none is asked. A request with a key that is neither its own nor a friend's is refused and returned without message.
+    """
+    own = F.upper(F.trim(F.col("own").cast("string")))
+    asked = requests.select("request_id", own.alias("own"), F.slice(clean_keys("keys"), 1, most_keys).alias("keys"), allowed_keys(F.col("own"), F.col("friends")).alias("allowed"))
+    refused = F.coalesce(F.size(F.array_except("keys", "allowed")) > 0, F.lit(False))
+    rooms = F.when(F.coalesce(F.size("keys"), F.lit(0)) > 0, F.col("keys")).otherwise(clean_keys(F.array("own")))
+    open_ = asked.where(~refused).select("request_id", F.explode(room_keys(F.col("own"), rooms)).alias("k"))
+    found = oldest_of_keys(messages, open_, most).select("request_id", F.lit(False).alias("refused"), "id", "rn")
+    none = asked.where(refused).select("request_id", F.lit(True).alias("refused"), F.lit(None).cast(messages.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("rn"))
+    return found.unionByName(none)
+
+
+def room_history(messages: DataFrame, requests: DataFrame, most: int = 100) -> DataFrame:
+    """(request_id, refused, id, rn): history of one room, oldest ``most`` first.
+
+    ``requests`` has (request_id, own, friends, room). In the own room the group messages stand beside all direct messages
+    with oneself and with friends; in a friend's room only those between the two. Any other room is refused.
+    """
+    clean = lambda c: F.upper(F.trim(F.col(c).cast("string")))
+    asked = requests.select("request_id", clean("own").alias("own"), clean("room").alias("room"), allowed_keys(F.col("own"), F.col("friends")).alias("allowed"))
+    good = F.coalesce(F.array_contains("allowed", F.col("room")), F.lit(False))
+    mine = F.col("own") == F.col("room")
+    key = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    own_room = F.concat(
+        F.array(key("group", F.col("own"), F.col("own"))),
+        F.flatten(F.transform("allowed", lambda r: F.array(key("direct", F.col("own"), r), key("direct", r, F.col("own"))))))
+    keys = F.when(mine, F.array_distinct(own_room)).otherwise(room_keys(F.col("own"), F.array("room")))
+    open_ = asked.where(good).select("request_id", F.explode(keys).alias("k"))
+    found = oldest_of_keys(messages, open_, most).select("request_id", F.lit(False).alias("refused"), "id", "rn")
+    none = asked.where(~good).select("request_id", F.lit(True).alias("refused"), F.lit(None).cast(messages.schema["id"].dataType).alias("id"), F.lit(None).cast("int").alias("rn"))
+    return found.unionByName(none)
 
 
 def list_quota(access: DataFrame, premium: int = 10, free: int = 2) -> DataFrame:

@@ -10,7 +10,7 @@ from larder.functions.text import as_text
 from larder.operators import social
 from larder.operators.ordering import batches, is_blank, page, reassemble, sorted_by
 from larder.operators.scaling import add_kept, keep_first, top_k
-from larder.plans.joins import ACCESS, VISIBLE, access, visible
+from larder.plans.joins import ACCESS, VISIBLE, access, room_requests
 from larder.plans.registry import query
 from larder.sources import html, tables
 
@@ -204,8 +204,8 @@ def sort_recent_first(spark, d):
     SELECT request_id, id, rn FROM (SELECT v.request_id, v.id, row_number() OVER (PARTITION BY v.request_id ORDER BY m.created_at, v.id) AS rn FROM ({VISIBLE}) v
       JOIN v_messages m ON v.id = m.id) t WHERE rn <= 100""", ("v_messages",))
 def topk_oldest_messages(spark, d):
-    """The oldest 100 visible messages of each request."""
-    return top_k(visible(spark, d), ["request_id"], ["created_at", "id"], 100, rank="rn").select("request_id", "id", "rn")
+    """The oldest 100 visible messages of each request; each room is cut to 100 before the join."""
+    return social.oldest_of_keys(tables.messages(spark, d), social.wanted_keys(room_requests(spark, d)), 100)
 
 
 @query("topk_labels", """

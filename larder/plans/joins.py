@@ -60,12 +60,14 @@ VISIBLE = """WITH req AS (SELECT u * 1000 + k AS request_id, u AS own, (u + k) %
       OR (m.share_key = r.own AND m.target_key = r.room) OR (m.target_key = r.own AND m.share_key = r.room)"""
 
 
-def visible(spark, d):
-    m = tables.messages(spark, d)
-    own = m.select(F.col("share_key").alias("own")).distinct()
-    asked = own.select("own", F.explode(F.lit([0, 1, 5])).alias("k")).select(
+def room_requests(spark, d):
+    own = tables.messages(spark, d).select(F.col("share_key").alias("own")).distinct()
+    return own.select("own", F.explode(F.lit([0, 1, 5])).alias("k")).select(
         (F.col("own") * 1000 + F.col("k")).alias("request_id"), "own", ((F.col("own") + F.col("k")) % 40).alias("room"))
-    return social.visible_messages(m, asked)
+
+
+def visible(spark, d):
+    return social.visible_messages(tables.messages(spark, d), room_requests(spark, d))
 
 
 @query("join_message_visibility", VISIBLE, ("v_messages",))
@@ -73,6 +75,50 @@ def join_message_visibility(spark, d):
     return visible(spark, d).select("request_id", "id")
 
 
+MEMBERS = """SELECT u AS own, [(u + 1) % 40, (u + 5) % 40] AS friends FROM (SELECT DISTINCT share_key AS u FROM v_messages)"""
+
+
+def members(spark, d):
+    """Every chat key with its two friends."""
+    own = tables.messages(spark, d).select(F.col("share_key").alias("own")).distinct()
+    return own.select("own", F.array((F.col("own") + 1) % 40, (F.col("own") + 5) % 40).alias("friends"))
+
+
+def text_keys(spark, d):
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return tables.messages(spark, d).select("id", "created_at", text("share_key"), text("target_key"))
+
+
+@query("group_message_history", f"""
+    WITH u AS ({MEMBERS}), r AS (SELECT own * 10 + k AS request_id, own, friends, CASE k WHEN 0 THEN [own] WHEN 1 THEN list_append(friends, own) WHEN 2 THEN [friends[1], (own + 2) % 40] ELSE friends END AS rooms,
+      k = 2 AND (own + 2) % 40 NOT IN (own, friends[1], friends[2]) AS refused FROM u, (VALUES (0), (1), (2), (3)) v(k)),
+    v AS (SELECT request_id, m.id, row_number() OVER (PARTITION BY request_id ORDER BY m.created_at, m.id) AS rn FROM r JOIN v_messages m
+      ON (list_contains(rooms, m.share_key) AND m.target_key IS NULL) OR (m.share_key = own AND list_contains(rooms, m.target_key)) OR (m.target_key = own AND list_contains(rooms, m.share_key)) WHERE NOT refused)
+    SELECT request_id, false AS refused, id, rn FROM v WHERE rn <= 200 UNION ALL SELECT request_id, true, NULL, NULL FROM r WHERE refused""", ("v_messages",))
+def group_message_history(spark, d):
+    """Oldest 200 messages over all rooms of a request: without keys, own and friends, with a stranger's key, friends."""
+    k = F.col("k")
+    stranger = (F.col("own") + 2) % 40
+    asked = F.when(k == 0, F.lit(None)).when(k == 1, F.array_append("friends", F.col("own"))).when(k == 2, F.array(F.get("friends", 0), stranger)).otherwise(F.col("friends"))
+    requests = members(spark, d).select("own", "friends", F.explode(F.lit([0, 1, 2, 3])).alias("k")).select((F.col("own") * 10 + k).alias("request_id"), "own", "friends", asked.alias("keys"))
+    return social.group_history(text_keys(spark, d), requests)
+
+
+@query("own_room_history", f"""
+    WITH u AS ({MEMBERS}), r AS (SELECT own * 10 + k AS request_id, own, list_append(friends, own) AS allowed, CASE k WHEN 0 THEN own WHEN 1 THEN friends[1] ELSE (own + 2) % 40 END AS room
+      FROM u, (VALUES (0), (1), (2)) v(k)), g AS (SELECT *, list_contains(allowed, room) AS good FROM r),
+    v AS (SELECT request_id, m.id, row_number() OVER (PARTITION BY request_id ORDER BY m.created_at, m.id) AS rn FROM g JOIN v_messages m
+      ON (m.share_key = room AND m.target_key IS NULL) OR (room = own AND ((m.share_key = own AND list_contains(allowed, m.target_key)) OR (m.target_key = own AND list_contains(allowed, m.share_key))))
+      OR (room <> own AND ((m.share_key = own AND m.target_key = room) OR (m.share_key = room AND m.target_key = own))) WHERE good)
+    SELECT request_id, false AS refused, id, rn FROM v WHERE rn <= 100 UNION ALL SELECT request_id, true, NULL, NULL FROM g WHERE NOT good""", ("v_messages",))
+def own_room_history(spark, d):
+    """Oldest 100 messages of the own room with all friends, of a friend's room, and a stranger's room refused."""
+    k = F.col("k")
+    room = F.when(k == 0, F.col("own")).when(k == 1, F.get("friends", 0)).otherwise((F.col("own") + 2) % 40)
+    requests = members(spark, d).select("own", "friends", F.explode(F.lit([0, 1, 2])).alias("k")).select((F.col("own") * 10 + k).alias("request_id"), "own", "friends", room.alias("room"))
+    return social.room_history(text_keys(spark, d), requests)
+
+
 KEYS = "'K' || lpad(CAST({0} AS VARCHAR), 9, '0')"
 
 
