@@ -6,7 +6,10 @@ Dictionaries are parameters: tables or lists of (source, target) in priority ord
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,25 +20,78 @@ from larder.operators.scaling import keep_first
 from larder.operators.search import match_names
 
 
+class Phrases:
+    """Pairs replaced in list order, whole words only, ignoring case; each pair sees the result of those before it.
+
+    One pass of an automaton over a text finds the phrases that occur in it; only those are tried, in list order. What a
+    replacement brings in is looked for again around it, so a later phrase that it completes is tried as well. The cost
+    of a text is its length and what is replaced in it, not the number of phrases.
+    """
+
+    def __init__(self, pairs):
+        self.pairs = [(en.lower(), re.compile(rf"\b{re.escape(en)}\b", re.I | re.A), gr) for en, gr in pairs]
+        self.longest = max((len(en) for en, _, _ in self.pairs), default=0)
+        self.always = [k for k, (en, _, _) in enumerate(self.pairs) if not en]  # an empty phrase stands everywhere
+        self.places: dict[str, list[int]] = {}
+        for k, (en, _, _) in enumerate(self.pairs):
+            if en:
+                self.places.setdefault(en, []).append(k)
+        self.machine = None
+        if self.places:
+            self.machine = ahocorasick.Automaton()
+            for en, own in self.places.items():
+                self.machine.add_word(en, own)
+            self.machine.make_automaton()
+
+    def found(self, low: str, after: int) -> set[int]:
+        """Numbers above ``after`` of the phrases that occur in a lower-case text."""
+        if self.machine is None:
+            return set()
+        return {k for _, own in self.machine.iter(low) for k in own if k > after}
+
+    def replace(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        waiting = sorted(self.found(text.lower(), -1) | set(self.always))
+        while waiting:
+            k = heappop(waiting)
+            while waiting and waiting[0] == k:
+                heappop(waiting)
+            en, pattern, gr = self.pairs[k]
+            if en not in text.lower():
+                continue
+            parts, at, near = [], 0, []
+            for m in pattern.finditer(text):
+                parts += [text[at : m.start()], gr]
+                at = m.end()
+                near.append(sum(map(len, parts)) if len(near) < 8 else 0)
+            if not parts:
+                continue
+            text = "".join(parts) + text[at:]
+            # a phrase that is new to the text touches a replacement; after many of them the whole text is read again
+            if len(near) < 8:
+                around = (text[max(0, end - len(gr) - self.longest) : end + self.longest] for end in near)
+            else:
+                around = (text,)
+            for piece in around:
+                for new in self.found(piece.lower(), k):
+                    heappush(waiting, new)
+        return text
+
+
 def phrase_replacer(pairs, longest_first: bool = False):
     """Column function that replaces whole words by ``pairs`` in list order, ignoring case.
 
-    Each pair sees the result of the pairs before it. Hundreds of chained
-    regexp_replace calls make one oversized expression, so the fold runs over Arrow
+    Each pair sees the result of the pairs before it. The work runs over Arrow
     batches, once per distinct text of a batch.
     """
-    ordered = sorted(pairs, key=lambda p: -len(p[0])) if longest_first else list(pairs)
-    compiled = [(en.lower(), re.compile(rf"\b{re.escape(en)}\b", re.I | re.A), gr) for en, gr in ordered]
-
-    def fold(text):
-        for en, pattern, gr in compiled:
-            if text is not None and en in text.lower():
-                text = pattern.sub(lambda _: gr, text)
-        return text
+    phrases = list(sorted(pairs, key=lambda p: -len(p[0])) if longest_first else pairs)
 
     @F.pandas_udf("string")
-    def replace(texts: pd.Series) -> pd.Series:
-        return texts.map({t: fold(t) for t in texts.unique()})
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Phrases(phrases)  # once a task
+        for texts in batches:
+            yield texts.map({t: own.replace(t) for t in texts.unique()})
 
     return replace
 
