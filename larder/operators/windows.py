@@ -19,6 +19,23 @@ from larder.session import cut_lineage
 SLICES = 16  # time slices per window: the unit one task sorts when it looks for the next hit
 
 
+def later_minimum(rows: DataFrame, keys: list[str], place: str, value: str, name: str) -> DataFrame:
+    """(keys, place, name): least ``value`` at any later place of the key; one row for each (keys, place).
+
+    Suffix minima in two levels. The rows are sorted globally, so a hot key lies in many range partitions, each of which
+    is one task; what a (key, partition) hands back to the earlier partitions of that key is one row of a carry table,
+    at most as many for a key as there are partitions.
+    """
+    placed = rows.select(*keys, place, value).orderBy(*keys, place)
+    numbered = cut_lineage(placed.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    inside = Window.partitionBy(*keys, "part").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    near = numbered.select(*keys, place, "part", F.min(value).over(inside).alias("near"))
+    parts = numbered.groupBy(*keys, "part").agg(F.min(value).alias("least"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(*keys, "part", F.min("least").over(after).alias("carry"))
+    return near.join(carry, [*keys, "part"]).select(*keys, place, F.least("near", "carry").alias(name))
+
+
 def _next_hits(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t, next): first hit more than a window after ``t``; rows without one drop out."""
     slice_of = lambda t: F.floor(t * SLICES / F.col("window")).alias("bucket")
@@ -35,9 +52,7 @@ def _next_hits(points: DataFrame, keys: list[str]) -> DataFrame:
     firsts = hits.groupBy(*keys, "bucket").agg(F.min("hit").alias("first"))
     asked = near.where("near IS NULL").select(*keys, "bucket").distinct().withColumn("first", F.lit(None).cast("bigint"))
     by_bucket = firsts.unionByName(asked).groupBy(*keys, "bucket").agg(F.min("first").alias("first"))
-    beyond = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    far = by_bucket.withColumn("far", F.min("first").over(beyond)).select(*keys, "bucket", "far")
-    found = near.join(far, [*keys, "bucket"], "left")
+    found = near.join(later_minimum(by_bucket, keys, "bucket", "first", "far"), [*keys, "bucket"], "left")
     return found.select(*keys, F.col("origin").alias("t"), F.coalesce("near", "far").alias("next")).where("next IS NOT NULL")
 
 
