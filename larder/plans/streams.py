@@ -13,6 +13,10 @@ from larder.sources import tables
 from larder.streaming import jobs
 
 
+#: How late an event may be among the stored files and still count at its place.
+WAIT = "365 days"
+
+
 @query("event_log_source", "SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type")
 def event_log_source(spark, d):
     log = jobs.run_to_table(jobs.read_events(spark, d).select("event_id", "event_type"), "event-log")
@@ -65,7 +69,7 @@ def stream_room_membership(spark, d):
         F.col("user_id").alias("socket"), "event_id", epoch_micros("ts").alias("t"),
         F.when(t == "error", "disconnect").otherwise("join").alias("action"), room.alias("room"))
     with jobs.state_store(spark):
-        changes = jobs.run_to_table(jobs.room_changes(actions), "rooms")
+        changes = jobs.run_log_in_order(actions, "rooms", lambda log: jobs.room_changes(log, WAIT))
     return changes.groupBy("socket", "room").agg(F.sum("change").alias("n")).where("n > 0").select("socket", "room")
 
 
@@ -94,7 +98,7 @@ def stream_rate_limit(spark, d):
     """Two hits per user in a 24 h window that opens at the first hit."""
     hits = jobs.read_events(spark, d).select("event_id", "user_id", epoch_micros("ts").alias("t"))
     with jobs.state_store(spark):
-        return jobs.run_to_table(jobs.rate_limited(hits, 2, 86_400), "admitted")
+        return jobs.run_log_in_order(hits, "admitted", lambda log: jobs.rate_limited(log, 2, 86_400, delay=WAIT))
 
 
 LIMITS = [("day", 2, 86_400)] + [(name, hits, seconds) for name, (hits, seconds) in fv.RATE_LIMITS.items()]
@@ -120,7 +124,7 @@ def stream_subscription_state(spark, d):
         F.concat(F.lit("plan"), (F.col("event_id") % 2).cast("string")).alias("plan"),
         F.concat(F.lit("sub"), F.col("user_id").cast("string")).alias("subscription"))
     with jobs.state_store(spark):
-        states = jobs.run_to_table(jobs.subscription_states(paid), "plans")
+        states = jobs.run_log_in_order(paid, "plans", lambda log: jobs.subscription_states(log, WAIT))
     return keep_first(states, ["user_id"], [F.desc("t")]).drop("t")
 
 

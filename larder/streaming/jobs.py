@@ -6,6 +6,7 @@ folder. ``trigger(availableNow=True)`` turns the same job into a catch-up batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -104,81 +105,180 @@ def typing_rooms(signals: DataFrame) -> DataFrame:
     ).drop("share_key")
 
 
+# --- rows in order ------------------------------------------------------------------
+
+#: A time after all others (microseconds): the row that ends a stored log.
+END_OF_LOG = 253_370_764_800_000_000
+
+
+class Slots:
+    """Rows of one key held in state by the time at which they are to be given up.
+
+    Each chunk of rows is one more entry of its slot, so what is held is never read or written again before its
+    timer, and one slot at a time is in memory.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str = "held"):
+        long = lambda *names: StructType([StructField(n, LongType()) for n in names])
+        self.handle = handle
+        self.rows = handle.getMapState(name, long("slot", "part"), StructType([StructField("rows", StringType())]))
+        self.parts = handle.getMapState(f"{name}_parts", long("slot"), long("n"))
+
+    def keep(self, at_ms: int, rows: list) -> None:
+        n = self.parts.getValue((at_ms,))[0] if self.parts.containsKey((at_ms,)) else 0
+        self.rows.updateValue((at_ms, n), (json.dumps(rows),))
+        self.parts.updateValue((at_ms,), (n + 1,))
+        if n == 0:
+            self.handle.registerTimer(at_ms)
+
+    def release(self, at_ms: int) -> list:
+        out = []
+        for k in range(self.parts.getValue((at_ms,))[0]):
+            out += json.loads(self.rows.getValue((at_ms, k))[0])
+            self.rows.removeKey((at_ms, k))
+        self.parts.removeKey((at_ms,))
+        return out
+
+
+class InOrder(StatefulProcessor):
+    """Base of jobs that must see each key's rows in order of (t, event_id), however they arrive.
+
+    Rows wait in slots of ``slot_ms`` of event time until the watermark has passed their slot; then the slot is sorted and
+    folded. Rows that come later than the watermark's delay are folded in the batch that brings them. A job says which
+    ``columns`` it needs besides t and event_id, what it returns (``output``), and folds sorted rows into output rows.
+    """
+
+    columns: tuple = ()
+    output: StructType
+    slot_ms = 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.slots = Slots(handle)
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """State of the fold itself."""
+
+    def fold(self, key, rows: list) -> list:
+        raise NotImplementedError
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.output.fieldNames(), dtype=None if rows else object)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            by_slot: dict[int, list] = {}
+            for row in zip(*(chunk[c].tolist() for c in ("t", "event_id", *self.columns))):
+                by_slot.setdefault((row[0] // 1000 // self.slot_ms + 1) * self.slot_ms, []).append(row)
+            for at_ms, own in by_slot.items():
+                self.slots.keep(at_ms, own)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.slots.release(int(expiredTimerInfo.getExpiryTimeInMs()))
+        yield self._frame(self.fold(key, sorted(held, key=lambda r: (r[0], r[1]))))
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, key: str, processor: InOrder, delay: str) -> DataFrame:
+    """Run a job over a stream with t (microseconds), event_id, the key and the job's columns; rows may be ``delay`` late."""
+    timed = stream.select(key, "t", "event_id", *processor.columns, F.timestamp_micros("t").alias("__at")).withWatermark("__at", delay)
+    # the end mark moves the watermark and goes no further; the test on __at keeps it above the watermark
+    real = timed.where(F.col("__at") < F.timestamp_micros(F.lit(END_OF_LOG)))
+    # without the event-time column Spark drops no late row before the processor sees it
+    return real.drop("__at").groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.output, outputMode="append", timeMode="eventTime",
+    )
+
+
+def run_log_in_order(log: DataFrame, label: str, job) -> DataFrame:
+    """Run ``job(stream)`` over a stored log to its very end, and read the rows back.
+
+    A live stream releases rows as its watermark moves. A stored log ends, so once its files are read the same query goes
+    on from its checkpoint with one further row, later than all others, that releases what still waits.
+    """
+    spark = log.sparkSession
+    marks = scratch_path(spark, f"{label}-end")
+    spark.createDataFrame([], log.schema).write.parquet(marks)
+    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-progress")
+
+    def catch_up() -> DataFrame:
+        ending = spark.readStream.schema(log.schema).parquet(marks)
+        stream = job(log.unionByName(ending))
+        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return stream
+
+    catch_up()
+    last = spark.range(1).select(*(F.lit(END_OF_LOG if f.name == "t" else None).cast(f.dataType).alias(f.name) for f in log.schema.fields))
+    last.write.mode("append").parquet(marks)
+    return spark.read.schema(catch_up().schema).parquet(out)
+
+
 # --- rate windows ----------------------------------------------------------------
 
-class AnchoredWindow(StatefulProcessor):
+class AnchoredWindow(InOrder):
     """Admits up to ``limit`` hits in a window that opens at the first hit after the last window.
 
-    State per key is two numbers, whatever the number of hits. Rows of one batch come
-    in chunks; a chunk is put in time order before it is counted.
+    Besides the rows that wait, the state of a key is two numbers.
     """
 
+    output = StructType([StructField("event_id", LongType()), StructField("admitted", BooleanType())])
+
     def __init__(self, limit: int, window_us: int):
         self.limit, self.window_us = limit, window_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("window", StructType([StructField("count", LongType()), StructField("reset_at", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, key, rows: list) -> list:
         held = self.state.get()
         count, reset_at = held if held is not None else (0, -(2**62))
-        hits = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        admitted = []
-        for t in hits["t"]:
+        out = []
+        for t, event_id in rows:
             if t > reset_at:
                 count, reset_at = 0, t + self.window_us
-            admitted.append(count < self.limit)
-            count += admitted[-1]
+            out.append((event_id, count < self.limit))
+            count += count < self.limit
         self.state.update((int(count), int(reset_at)))
-        yield pd.DataFrame({"event_id": hits["event_id"].to_numpy(), "admitted": admitted})
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-def rate_limited(hits: DataFrame, limit: int, window_seconds: int, key: str = "user_id") -> DataFrame:
+def rate_limited(hits: DataFrame, limit: int, window_seconds: int, key: str = "user_id", delay: str = "0 seconds") -> DataFrame:
     """(event_id, admitted) of a stream of hits with columns event_id, t (microseconds) and the key."""
-    return hits.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=AnchoredWindow(limit, window_seconds * 1_000_000),
-        outputStructType=StructType([StructField("event_id", LongType()), StructField("admitted", BooleanType())]),
-        outputMode="append", timeMode="none",
-    )
+    return in_order(hits, key, AnchoredWindow(limit, window_seconds * 1_000_000), delay)
 
 
 # --- rooms -------------------------------------------------------------------------
 
-class RoomSet(StatefulProcessor):
+class RoomSet(InOrder):
     """Rooms of a socket: joins are emitted once, a disconnect leaves every room."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    columns = ("action", "room")
+    output = StructType([StructField("socket", LongType()), StructField("room", StringType()), StructField("change", LongType())])
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.rooms = handle.getMapState(
             "rooms", StructType([StructField("room", StringType())]), StructType([StructField("since", LongType())])
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, key, rows: list) -> list:
         out = []
-        for action, room, t in pd.concat(list(rows)).sort_values(["t", "event_id"])[["action", "room", "t"]].itertuples(index=False):
+        for t, _, action, room in rows:
             if action == "disconnect":
-                out += [(key[0], r[0], -1) for r in self.rooms.keys()]
+                out += [(key[0], r[0], -1) for r in list(self.rooms.keys())]
                 self.rooms.clear()
             elif not self.rooms.containsKey((room,)):
                 self.rooms.updateValue((room,), (int(t),))
                 out.append((key[0], room, 1))
-        yield pd.DataFrame(out, columns=["socket", "room", "change"])
+        return out
 
-    def close(self) -> None:
-        pass
 
-
-def room_changes(actions: DataFrame) -> DataFrame:
+def room_changes(actions: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(socket, room, +1 or -1) from a stream of (socket, event_id, t, action, room)."""
-    return actions.groupBy("socket").transformWithStateInPandas(
-        statefulProcessor=RoomSet(),
-        outputStructType=StructType(
-            [StructField("socket", LongType()), StructField("room", StringType()), StructField("change", LongType())]
-        ),
-        outputMode="append", timeMode="none",
-    )
+    return in_order(actions, "socket", RoomSet(), delay)
 
 
 # --- message life time -----------------------------------------------------------------
@@ -186,32 +286,28 @@ def room_changes(actions: DataFrame) -> DataFrame:
 class ExpiringMessages(StatefulProcessor):
     """Holds message ids of a room and gives each up ``hours`` after its own time.
 
-    Ids are filed by the millisecond they run out, one timer each, so nothing is
-    scanned when a timer fires.
+    Ids are filed by the millisecond they run out, one timer each, so nothing is scanned when a timer fires. Messages
+    whose life is over when they arrive, also behind the watermark, are given up in the batch that brings them.
     """
 
     def __init__(self, hours: int = 24):
         self.life_ms = hours * 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getMapState(
-            "due", StructType([StructField("at", LongType())]), StructType([StructField("ids", StringType())])
-        )
+        self.slots = Slots(handle, "due")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, over = timerValues.getCurrentWatermarkInMs(), []
         for chunk in rows:
             for at, ids in chunk.groupby(chunk["ms"] + self.life_ms)["event_id"]:
-                held = self.due.getValue((int(at),)) if self.due.containsKey((int(at),)) else None
-                listed = ([held[0]] if held else []) + [str(i) for i in ids]
-                self.due.updateValue((int(at),), (",".join(listed),))
-                self.handle.registerTimer(int(at))
-        yield pd.DataFrame({"room": [], "event_id": []}).astype("int64")
+                if at <= now:
+                    over += [int(i) for i in ids]
+                else:
+                    self.slots.keep(int(at), [int(i) for i in ids])
+        yield pd.DataFrame({"room": [key[0]] * len(over), "event_id": over}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (int(expiredTimerInfo.getExpiryTimeInMs()),)
-        ids = [int(i) for i in self.due.getValue(at)[0].split(",")]
-        self.due.removeKey(at)
+        ids = self.slots.release(int(expiredTimerInfo.getExpiryTimeInMs()))
         yield pd.DataFrame({"room": [key[0]] * len(ids), "event_id": ids})
 
     def close(self) -> None:
@@ -220,8 +316,11 @@ class ExpiringMessages(StatefulProcessor):
 
 def expired_messages(messages: DataFrame, hours: int = 24) -> DataFrame:
     """(room, event_id) of messages whose life has run out; ``messages`` has room, event_id, ms
-    and a watermarked event-time column."""
-    return messages.groupBy("room").transformWithStateInPandas(
+    and a watermarked event-time column.
+
+    That column ends here: a processor whose input carries it never sees rows that are late.
+    """
+    return messages.select("room", "event_id", "ms").groupBy("room").transformWithStateInPandas(
         statefulProcessor=ExpiringMessages(hours),
         outputStructType=StructType([StructField("room", LongType()), StructField("event_id", LongType())]),
         outputMode="append", timeMode="eventTime",
@@ -230,43 +329,35 @@ def expired_messages(messages: DataFrame, hours: int = 24) -> DataFrame:
 
 # --- subscriptions ----------------------------------------------------------------------
 
-class Subscription(StatefulProcessor):
+class Subscription(InOrder):
     """Folds payment events of a user: completed sets the plan, deleted clears it when the
     subscription id is the stored one, failed changes nothing."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    columns = ("kind", "plan", "subscription")
+    output = StructType([
+        StructField("user_id", LongType()), StructField("is_premium", BooleanType()), StructField("premium_type", StringType()), StructField("t", LongType()),
+    ])
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
             "plan", StructType([StructField("plan", StringType()), StructField("subscription", StringType())])
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def fold(self, key, rows: list) -> list:
         plan, subscription = self.state.get() or (None, None)
-        last, touched = None, False
-        events = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        for kind, new_plan, sub, t in events[["kind", "plan", "subscription", "t"]].itertuples(index=False):
+        touched = False
+        for _, _, kind, new_plan, sub in rows:
             if kind == "completed":
                 plan, subscription, touched = new_plan, sub, True
             elif kind == "deleted" and subscription == sub:
                 plan, subscription, touched = None, None, True
-            last = t
         self.state.update((plan, subscription))
-        if touched:
-            yield pd.DataFrame({"user_id": [key[0]], "is_premium": [plan is not None], "premium_type": [plan], "t": [last]})
+        return [(key[0], plan is not None, plan, rows[-1][0])] if touched else []
 
-    def close(self) -> None:
-        pass
 
-
-def subscription_states(events: DataFrame) -> DataFrame:
-    """Current state of each user touched by a batch; the row with the latest ``t`` is current."""
-    return events.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Subscription(),
-        outputStructType=StructType([
-            StructField("user_id", LongType()), StructField("is_premium", BooleanType()),
-            StructField("premium_type", StringType()), StructField("t", LongType()),
-        ]),
-        outputMode="append", timeMode="none",
-    )
+def subscription_states(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """State of each user after each slot that touched it; the row with the latest ``t`` is current."""
+    return in_order(events, "user_id", Subscription(), delay)
 
 
 # --- tables fed by streams ------------------------------------------------------------------

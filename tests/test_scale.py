@@ -156,7 +156,7 @@ def test_windows_by_stream_over_several_batches(spark, hits, tmp_path):
         spark.createDataFrame(part, "event_id long, user_id long, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("event_id long, user_id long, t long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     with jobs.state_store(spark):
-        got = jobs.run_to_table(jobs.rate_limited(stream, 3, 1), "test-rate")
+        got = jobs.run_log_in_order(stream, "test-rate", lambda log: jobs.rate_limited(log, 3, 1))
     assert rows(got) == replay(hits, 3, 1_000_000)
 
 
