@@ -18,9 +18,8 @@ from pyspark.sql.types import (
     BooleanType, LongType, StringType, StructField, StructType, TimestampType,
 )
 
-from larder.operators.catalog import upsert
-from larder.operators.scaling import as_cols, keep_first
 from larder.session import ROCKSDB_PROVIDER, scratch_path
+from larder.streaming.versions import VersionedTable
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -368,20 +367,13 @@ def first_seen(stream: DataFrame, key: str, ts: str, within: str) -> DataFrame:
     return timed.dropDuplicatesWithinWatermark([key]).select(key)
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order, base: DataFrame) -> DataFrame:
-    """Upsert a stream into ``base``: each batch is reduced to one row per key and written to
-    a change folder of its own, named by the batch, so a repeated batch replaces itself.
+def upsert_stream(stream: DataFrame, keys: list[str], order, base: DataFrame, most: int = 8) -> DataFrame:
+    """Upsert a stream into ``base``: each batch is reduced to one row per key and published as one version of the table.
 
-    A batch writes only its own rows; the table is the base merged with the changes on
-    read, and can be written out as a new base at any time.
+    A batch writes only its own rows; after ``most`` batches they are folded into a new base, so reading merges a bounded
+    number of changes.
     """
     spark = stream.sparkSession
-    changes = scratch_path(spark, "changes")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        last = keep_first(batch, keys, [c.desc() for c in as_cols(order)])
-        last.write.mode("overwrite").parquet(f"{changes}/batch={batch_id}")
-
-    run_foreach_batch(stream, "upsert", handle)
-    stored = spark.read.parquet(changes)
-    return upsert(base, stored, keys, ["batch", *order])
+    table = VersionedTable(spark, scratch_path(spark, "upserted"), keys, order, most).create(base)
+    run_foreach_batch(stream, "upsert", table.apply)
+    return table.read()
