@@ -8,7 +8,7 @@ from larder.functions import structures as st
 from larder.functions.dates import epoch_micros
 from larder.functions.text import as_text
 from larder.operators import social
-from larder.operators.ordering import batches, is_blank, page, reassemble, sorted_by
+from larder.operators.ordering import Pages, batches, is_blank, reassemble, sorted_by
 from larder.operators.scaling import add_kept, keep_first, top_k
 from larder.plans.joins import ACCESS, VISIBLE, access, room_requests
 from larder.plans.registry import query
@@ -48,16 +48,24 @@ def agg_scrape_status(spark, d):
 @query("sort_page", "SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50 OFFSET 100")
 def sort_page(spark, d):
     part = tables.table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
-    return page(part, [F.desc("p_retailprice"), "p_partkey"], 3, 50)
+    return Pages(part, [F.desc("p_retailprice"), "p_partkey"], 50).page(3)
 
 
 @query("agg_page_total", """SELECT p.p_partkey, t.total, CAST(ceil(t.total / 20.0) AS BIGINT) AS pages FROM
     (SELECT p_partkey FROM part ORDER BY p_size, p_partkey LIMIT 20 OFFSET 20) p, (SELECT count(*) AS total FROM part) t""")
 def agg_page_total(spark, d):
-    part = tables.table(spark, d, "part")
-    total = part.agg(F.count("*").alias("total"))
-    rows = page(part.select("p_partkey", "p_size"), ["p_size", "p_partkey"], 2, 20)
-    return rows.withColumn("total", total.scalar()).select("p_partkey", "total", F.ceil(F.col("total") / 20).alias("pages"))
+    pages = Pages(tables.table(spark, d, "part").select("p_partkey", "p_size"), ["p_size", "p_partkey"], 20)
+    one = lambda c: pages.totals().select(c).scalar().alias(c)
+    return pages.page(2).select("p_partkey", one("total"), one("pages"))
+
+
+@query("sort_every_page", """
+    SELECT p_partkey, p_retailprice, (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) // 50 + 1 AS page,
+      (row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1) % 50 AS place FROM part""")
+def sort_every_page(spark, d):
+    """Every page of the product list from one job."""
+    part = tables.table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return Pages(part, [F.desc("p_retailprice"), "p_partkey"], 50).all()
 
 
 @query("limit_with_full_total", """SELECT p.p_partkey, t.total FROM (SELECT p_partkey FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 30) p,

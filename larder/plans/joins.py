@@ -207,6 +207,17 @@ def bounded_link_reachability(spark, d):
     return graph.reachable(cut_lineage(tables.graph(spark, d)), roots, 3)
 
 
+@query("link_reachability_of_all", """
+    WITH RECURSIVE e AS (SELECT a AS src, b AS dst FROM v_edges UNION SELECT b, a FROM v_edges),
+    r AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS d FROM customer UNION SELECT r.root, e.dst, r.d + 1 FROM r JOIN e ON e.src = r.node WHERE r.d < 3)
+    SELECT root, node, min(d) AS distance FROM r GROUP BY root, node""", ("v_edges",))
+def link_reachability_of_all(spark, d):
+    """Everybody's friends within three steps, from one walk for all users."""
+    edges = social.both_ways(tables.edges(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    users = tables.table(spark, d, "customer").select(F.col("c_custkey").alias("root"))
+    return graph.reachable_from_each(cut_lineage(edges), users, 3)
+
+
 @query("set_visited", """
     WITH RECURSIVE r AS (SELECT 'c0' AS n, 0 AS d UNION SELECT g.dst, r.d + 1 FROM r JOIN v_graph g ON g.src = r.n
       WHERE r.d < 2 AND (NOT starts_with(r.n, 'p') OR ends_with(r.n, '1'))) SELECT DISTINCT n AS node FROM r""", ("v_graph",))
