@@ -14,9 +14,10 @@ from larder.sources.tables import LINE_ORDER
 CLEAN = "lower(trim(split_part(regexp_replace(raw, '^[0-9]+g *', ''), '(', 1)))"
 TOTALS = f"""listed AS (SELECT plan_id, {CLEAN} AS ingredient,
       CAST(sum(CAST(regexp_extract(raw, '([0-9]+)g', 1) AS BIGINT)) AS BIGINT) AS total_grams, count(*) AS n_lines, min(raw) AS first_raw
-    FROM v_ingredients WHERE plan_id % 7 <> 3 OR NOT contains(raw, 'red') GROUP BY 1, 2),
+    FROM v_ingredients GROUP BY 1, 2),
   summary AS (SELECT DISTINCT p_partkey % 50 AS plan_id, lower(p_name) || CASE p_partkey % 4 WHEN 0 THEN ' fresh' WHEN 1 THEN ' zzz qqq' ELSE '' END AS ingredient FROM part
-    UNION SELECT DISTINCT p_partkey % 50, 'fresh ' || lower(p_name) FROM part WHERE p_partkey % 9 = 0),
+    UNION SELECT DISTINCT p_partkey % 50, 'fresh ' || lower(p_name) FROM part WHERE p_partkey % 9 = 0
+    UNION SELECT DISTINCT p_partkey % 50, lower(p_name) || ' unlisted' FROM part WHERE p_partkey % 5 = 0),
   totals AS (SELECT * FROM listed UNION ALL SELECT plan_id, ingredient, 0, 0, ingredient FROM summary
     WHERE (plan_id, ingredient) NOT IN (SELECT plan_id, ingredient FROM listed))"""
 W = "[w FOR w IN string_split(ingredient, ' ') IF length(w) > 2]"
@@ -36,41 +37,39 @@ V = ("v_ingredients", "v_products")
 
 
 def plan_inputs(spark, d):
-    lines = tables.ingredients(spark, d).where((F.col("plan_id") % 7 != 3) | ~F.col("raw").contains("red"))
+    """All ingredient lines; summary names, some of which no plan has."""
     part, k = tables.table(spark, d, "part"), F.col("p_partkey")
     suffix = F.when(k % 4 == 0, " fresh").when(k % 4 == 1, " zzz qqq").otherwise("")
-    summary = part.select((k % 50).alias("plan_id"), F.concat(F.lower("p_name"), suffix).alias("ingredient")).unionByName(
-        part.where("p_partkey % 9 = 0").select((k % 50).alias("plan_id"), F.concat(F.lit("fresh "), F.lower("p_name")).alias("ingredient")))
-    return lines, summary
+    name = F.lower("p_name")
+    given = [(part, F.concat(name, suffix)), (part.where("p_partkey % 9 = 0"), F.concat(F.lit("fresh "), name)), (part.where("p_partkey % 5 = 0"), F.concat(name, F.lit(" unlisted")))]
+    summary = [rows.select((k % 50).alias("plan_id"), ingredient.alias("ingredient")) for rows, ingredient in given]
+    return tables.ingredients(spark, d), summary[0].unionByName(summary[1]).unionByName(summary[2])
 
 
-def whole_inputs(spark, d):
-    """All lines; summary names that no plan has come from the parts, under a name of their own."""
-    part = tables.table(spark, d, "part")
-    extra = part.where("p_partkey % 5 = 0").select((F.col("p_partkey") % 50).alias("plan_id"), F.concat(F.lower("p_name"), F.lit(" unlisted")).alias("ingredient"))
-    return tables.ingredients(spark, d), plan_inputs(spark, d)[1].unionByName(extra)
-
-
-def priced_list(spark, d, inputs=plan_inputs):
-    return mealplan.price_plans(*inputs(spark, d), tables.products(spark, d))
+def priced_list(spark, d):
+    return mealplan.price_plans(*plan_inputs(spark, d), tables.products(spark, d))
 
 
+@query("agg_ingredient_totals_whole", f"WITH {TOTALS} SELECT * FROM totals", V)
 @query("agg_ingredient_totals", f"WITH {TOTALS} SELECT * FROM totals", V)
 def agg_ingredient_totals(spark, d):
     return mealplan.ingredient_totals(*plan_inputs(spark, d))
 
 
+@query("join_tiered_price_whole", f"WITH {PRICES} SELECT ingredient, tier, product_id, price, store FROM prices", V)
 @query("join_tiered_price", f"WITH {PRICES} SELECT ingredient, tier, product_id, price, store FROM prices", V)
 def join_tiered_price(spark, d):
     prices = mealplan.best_prices(mealplan.ingredient_totals(*plan_inputs(spark, d)), tables.products(spark, d))
     return prices.select("ingredient", "tier", "product_id", "price", "store")
 
 
+@query("join_shopping_list_whole", f"WITH {SHOPPING} SELECT plan_id, ingredient, total_grams, found, cost, store, product_name FROM shopping", V)
 @query("join_shopping_list", f"WITH {SHOPPING} SELECT plan_id, ingredient, total_grams, found, cost, store, product_name FROM shopping", V)
 def join_shopping_list(spark, d):
     return priced_list(spark, d).select("plan_id", "ingredient", "total_grams", "found", "cost", "store", "product_name")
 
 
+@query("sort_found_first_whole", f"WITH {SHOPPING} SELECT plan_id, found, ingredient FROM shopping", V)
 @query("sort_found_first", f"WITH {SHOPPING} SELECT plan_id, found, ingredient FROM shopping", V)
 def sort_found_first(spark, d):
     return priced_list(spark, d).select("plan_id", "found", "ingredient").orderBy("plan_id", F.desc("found"), "ingredient")
@@ -81,46 +80,12 @@ STATS = f"""WITH {SHOPPING} SELECT plan_id, count(*) AS total_ingredients, count
     CAST(floor(CAST(count(*) FILTER (WHERE found) AS DOUBLE) / count(*) * 100 + 0.5) AS BIGINT) AS coverage_percent FROM shopping GROUP BY plan_id"""
 
 
+@query("agg_shopping_stats_whole", STATS, V)
 @query("agg_shopping_stats", STATS, V)
 def agg_shopping_stats(spark, d):
     return mealplan.shopping_stats(priced_list(spark, d))
 
 
-def whole(sql):
-    """``sql`` over all ingredient lines and the further summary names."""
-    for cut, all_of in ((" WHERE plan_id % 7 <> 3 OR NOT contains(raw, 'red')", ""), ("FROM part WHERE p_partkey % 9 = 0)", """FROM part WHERE p_partkey % 9 = 0
-    UNION SELECT DISTINCT p_partkey % 50, lower(p_name) || ' unlisted' FROM part WHERE p_partkey % 5 = 0)""")):
-        assert sql.count(cut) == 1
-        sql = sql.replace(cut, all_of)
-    return sql
-
-
-@query("agg_ingredient_totals_whole", f"WITH {whole(TOTALS)} SELECT * FROM totals", V)
-def agg_ingredient_totals_whole(spark, d):
-    return mealplan.ingredient_totals(*whole_inputs(spark, d))
-
-
-@query("join_tiered_price_whole", f"WITH {whole(PRICES)} SELECT ingredient, tier, product_id, price, store FROM prices", V)
-def join_tiered_price_whole(spark, d):
-    prices = mealplan.best_prices(mealplan.ingredient_totals(*whole_inputs(spark, d)), tables.products(spark, d))
-    return prices.select("ingredient", "tier", "product_id", "price", "store")
-
-
-@query("join_shopping_list_whole", f"WITH {whole(SHOPPING)} SELECT plan_id, ingredient, total_grams, found, cost, store, product_name FROM shopping", V)
-def join_shopping_list_whole(spark, d):
-    return priced_list(spark, d, whole_inputs).select("plan_id", "ingredient", "total_grams", "found", "cost", "store", "product_name")
-
-
-@query("sort_found_first_whole", f"WITH {whole(SHOPPING)} SELECT plan_id, found, ingredient FROM shopping", V)
-def sort_found_first_whole(spark, d):
-    return priced_list(spark, d, whole_inputs).select("plan_id", "found", "ingredient").orderBy("plan_id", F.desc("found"), "ingredient")
-
-
-@query("agg_shopping_stats_whole", whole(STATS), V)
-def agg_shopping_stats_whole(spark, d):
-    return mealplan.shopping_stats(priced_list(spark, d, whole_inputs))
-
-
 ADJ = ["hot", "red", "new", "blue", "large", "small", "cold", "zzz"]
 NOUN = ["gear", "bolt", "plate", "anvil", "rod", "gizmo", "ring", "qqq"]
 sql_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"

@@ -96,31 +96,18 @@ def steps(ls):
     return ls.select("doc_id", F.col("pos").cast("bigint").alias("pos"), tx.strip_step_prefix(F.concat(prefix, "line")).alias("step"))
 
 
-@query("strip_step_prefix", f"SELECT doc_id, pos, trim(line, {WS}) AS step FROM v_lines WHERE NOT regexp_matches(line, '^[0-9]+[.)]')", ("v_lines",))
-def strip_step_prefix(spark, d):
-    """Prefixes put in front of each line are taken off again."""
-    return steps(tables.lines(spark, d).where(~F.col("line").rlike("^\\d+[.)]")))
+STEPS = f"""
+    WITH p AS (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN (pos + 1) || '. ' WHEN 1 THEN 'FITNESS ΣΥΝΤΑΓΗ: ' ELSE '' END || line AS line FROM v_lines)
+    SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '^[0-9]+[.)]\\s*', ''), '^(?i:(FITNESS\\s+)?ΣΥΝΤΑΓ[ΗΉ]\\s*(FITNESS\\s*)?:\\s*)', ''), {WS}) AS step FROM p"""
 
 
-@query("strip_step_prefix_whole", f"""
-    WITH p AS (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN (pos + 1) || '. ' WHEN 1 THEN 'FITNESS ΣΥΝΤΑΓΗ: ' ELSE '' END || line AS line FROM v_lines)
-    SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '^[0-9]+[.)]\\s*', ''), '^(?i:(FITNESS\\s+)?ΣΥΝΤΑΓ[ΗΉ]\\s*(FITNESS\\s*)?:\\s*)', ''), {WS}) AS step FROM p""", ("v_lines",))
+@query("strip_step_prefix", STEPS, ("v_lines",))
+@query("strip_step_prefix_whole", STEPS, ("v_lines",))
 def strip_step_prefix_whole(spark, d):
     """All lines, also those that begin with a number of their own."""
     return steps(tables.lines(spark, d))
 
 
-@query("section_split", f"""
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN ' ' || substring(text, 1, 100) ELSE ' ' || substring(text, 1, 100) || ' Παρασκευή' END AS ingredients,
-      CASE WHEN doc_id % 3 = 1 THEN trim(substring(text, 101, 200), {WS}) ELSE '' END AS instructions FROM documents WHERE doc_id % 3 <> 2
-    UNION ALL SELECT doc_id, ' ' || substring(text, 1, 100) || ' ', trim(' rest Εκτέλεση:' || substring(text, 101, 200), {WS}) FROM documents WHERE doc_id % 3 = 2""")
-def section_split(spark, d):
-    a, b, k = F.substring("text", 1, 100), F.substring("text", 101, 200), F.col("doc_id") % 3
-    page = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("intro Υλικά: "), a, F.lit("Εκτέλεση:"), b)).otherwise(
-        F.concat(F.lit("Συστατικά:x Υλικά: "), a, F.lit(" Παρασκευή rest Εκτέλεση:"), b))
-    return docs(spark, d).select("doc_id", tx.section_split(page).alias("s")).select("doc_id", "s.ingredients", "s.instructions")
-
-
 def first_marker_sql(text, markers):
     """Offset and length of the first of ``markers``, in their order, that ``text`` holds."""
     return f"CASE {' '.join(f"WHEN contains({text}, '{m}') THEN instr({text}, '{m}') + {len(m)}" for m in markers)} END"
@@ -129,14 +116,18 @@ def first_marker_sql(text, markers):
 NEAREST = f"list_sort([x FOR x IN [{', '.join(f"{{'at': instr(rest, '{m}'), 'n': {-len(m)}}}" for m in fv.INSTRUCTION_MARKERS)}] IF x.at > 0])[1]"
 
 
-@query("section_split_whole", f"""
+SECTIONS = f"""
     WITH h AS (SELECT doc_id, text, CAST(length(text) // 2 AS BIGINT) AS n FROM documents),
     p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'intro Υλικά: ' || substring(text, 1, n) || 'Εκτέλεση:' || substring(text, n + 1)
       ELSE 'Συστατικά:x Υλικά: ' || substring(text, 1, n) || ' Παρασκευή rest Εκτέλεση:' || substring(text, n + 1) END AS page FROM h),
     r AS (SELECT doc_id, substring(page, {first_marker_sql('page', fv.INGREDIENT_MARKERS)}) AS rest FROM p),
     e AS (SELECT doc_id, rest, {NEAREST} AS e FROM r)
     SELECT doc_id, coalesce(CASE WHEN e IS NULL THEN rest ELSE substring(rest, 1, e.at - 1) END, '') AS ingredients,
-      coalesce(trim(substring(rest, e.at - e.n), {WS}), '') AS instructions FROM e""")
+      coalesce(trim(substring(rest, e.at - e.n), {WS}), '') AS instructions FROM e"""
+
+
+@query("section_split", SECTIONS)
+@query("section_split_whole", SECTIONS)
 def section_split_whole(spark, d):
     """The markers stand around the first and the second half of each text, so the whole text is split."""
     text, k = F.col("text"), F.col("doc_id") % 3
