@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,16 @@ def give_back() -> None:
         trim(0)
 
 
+_given = [0.0]
+
+
+def give_back_at_times(seconds: float = 2.0) -> None:
+    """``give_back``, unless this worker did so a moment ago: for functions that run once for each group."""
+    if time.monotonic() - _given[0] > seconds:
+        give_back()
+        _given[0] = time.monotonic()
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and the offset of each row (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, mix, plain, shingles, text_chunks, words
+from larder.llm.common import components, give_back, mix, plain, shingles, text_chunks, words
 from larder.session import cut_lineage
 
 COORDINATES = 48
@@ -93,6 +93,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, digest of the set, sketch, signature) of each (id, text)."""
 
     def each(batches):
+        give_back()
         for batch in batches:
             sets = shingle_sets(batch.column(1))
             sig = _signatures(sets).view(np.int64)
@@ -106,6 +107,7 @@ def features(docs: DataFrame) -> DataFrame:
                 ],
                 names=["id", "n_shingles", "digest", "sketch", "sig"],
             )
+        give_back()
 
     return docs.mapInArrow(each, "id long, n_shingles long, digest binary, sketch binary, sig array<long>")
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larder.llm.common import plain, text_chunks
+from larder.llm.common import give_back, plain, text_chunks
 
 ORDER = 3
 UNKNOWN = "und"
@@ -164,15 +164,16 @@ class Trees:
         return out
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
-    """(id, lang_pred, score, bits_per_byte) of every row; ``carry`` names a further column to keep."""
+def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, keep_text: bool = False) -> DataFrame:
+    """(id, lang_pred, score, bits_per_byte) of every row; ``carry`` names a further column to keep, ``keep_text`` keeps the text."""
     letters = F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False))
     more = [F.col(f"`{carry}`")] if carry else []
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), letters.alias("letters"), *more)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["id", "lang_pred", "score", "bits_per_byte", *([carry] if carry else [])]
+    names = ["id", "lang_pred", "score", "bits_per_byte", *(["text"] if keep_text else []), *([carry] if carry else [])]
 
     def each(batches):
+        give_back()
         trees = Trees(sent.value) if sent.value else None
         for batch in batches:
             langs, scores, rate = [], [], []
@@ -192,9 +193,11 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
                     scores.append(float(1 / odds[r]) if ok else 0.0)
                     rate.append(float(bits[r, b] / max(1, offsets[r + 1] - offsets[r])))
             made = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*made, *batch.columns[3:]], names=names)
+            yield pa.RecordBatch.from_arrays([*made, *([batch.column(1)] if keep_text else []), *batch.columns[3:]], names=names)
+        del trees
+        give_back()
 
-    result = StructType.fromDDL("id long, lang_pred string, score double, bits_per_byte double")
+    result = StructType.fromDDL("id long, lang_pred string, score double, bits_per_byte double" + (", text string" if keep_text else ""))
     return rows.mapInArrow(each, result.add(docs.schema[carry]) if carry else result)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larder.llm.common import plain, prefix_hash, range_hash, text_bytes, text_chunks
+from larder.llm.common import give_back_at_times, plain, prefix_hash, range_hash, text_bytes, text_chunks
 
 WINDOW = 50
 SEED = 16
@@ -200,6 +200,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_group = dealt.groupBy("g")
 
     def send(key, tbl):
+        give_back_at_times()
         _, _, hashed, _ = _group_anchors(tbl)
         hashed = np.unique(hashed)
         to = _bucket(hashed, buckets)
@@ -207,6 +208,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([key[0].as_py()] * len(used), pa.int32()), "blob": pa.array([_six(hashed[to == b]) for b in used], pa.binary())})
 
     def shared(key, tbl):
+        give_back_at_times()
         blobs, g = tbl["blob"].to_pylist(), tbl["g"].to_numpy()
         hashed = _from_six(blobs)
         order = np.argsort(hashed, kind="stable")
@@ -221,6 +223,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"g": pa.array(g, pa.int32()), "bucket": pa.array([-1] * len(g), pa.int32()), "blob": pa.array([_six(x) for x in pieces], pa.binary()), "extra": _binary([b""] * len(g))})
 
     def surround(key, tbl, answers):
+        give_back_at_times()
         if not len(tbl):
             return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "blob": _binary([]), "docs": _binary([])})
         *_, block, hashed, least = _surroundings(tbl, _from_six(answers["blob"].to_pylist()))
@@ -229,6 +232,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"bucket": pa.array(used, pa.int32()), "g": pa.array([key[0].as_py()] * len(used), pa.int32()), "blob": pa.array([pa.compress(np.ascontiguousarray(block[to == b]), "zstd", asbytes=True) for b in used], pa.binary()), "docs": _binary(least[to == b] for b in used)})
 
     def sort(key, tbl):
+        give_back_at_times()
         blobs = tbl["docs"].to_pylist()
         owner = _array(blobs, np.int64)
         texts = [pa.decompress(x, len(d) // 8 * (_WIDE + 2), "zstd", asbytes=True) for x, d in zip(tbl["blob"].to_pylist(), blobs, strict=True)]
@@ -245,6 +249,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"g": tbl["g"].combine_chunks().cast(pa.int32()), "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "blob": _binary(plain_first), "extra": _binary(uneven)})
 
     def cut(key, tbl, answers):
+        give_back_at_times()
         if not len(tbl):
             return pa.table({"id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": _binary([])} | {c: tbl[c] for c in more_names})
         bucket = answers["bucket"].to_numpy()
