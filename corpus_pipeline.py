@@ -24,9 +24,12 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language: no letter, or no language at least ``LEAST_SCORE`` likely."""
     known = ppm.fit(docs)
-    columns = docs.columns
-    keyed = docs.withColumn("__row", F.struct(*columns))
-    return ppm.identify(keyed, known, carry="__row").where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    # each text goes to the workers once and comes back as it is; the other columns travel as one
+    keyed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))).alias("rest"))
+    found = ppm.identify(keyed, known, carry="rest", keep_text=True).where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    own = {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)} | {"text": F.col("text")}
+    return found.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
