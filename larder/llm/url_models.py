@@ -12,7 +12,7 @@ url at or above the threshold is allowed.
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from there up to ``?``, ``#``
 or the end. Defined cases: a null url or one without ``://`` has an empty host and path; a null or empty url scores
 0; without both classes every score and the threshold are 0; repeated rows are judged each; a null id is kept; other
-columns are ignored; an empty table gives an empty result.
+columns are ignored; an empty table gives an empty result. Time grows with a url's length, not with its square.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.text import let
 from larder.llm.common import plain
 from larder.session import cut_lineage
 
@@ -57,14 +58,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def _padded(url: Column) -> Column:
-    return F.concat(F.lit(PAD * ORDER), url)
+def _strings(url: Column) -> Column:
+    """The ``ORDER + 1`` characters that end at each character of a padded url; split once, so linear in its length."""
+    padded = F.split(F.concat(F.lit(PAD * ORDER), url), "")
+
+    def joined(characters):
+        starts = F.sequence(F.lit(0), F.size(characters) - (ORDER + 1))
+        return F.transform(starts, lambda i: F.concat(*(F.get(characters, i + k) for k in range(ORDER + 1))))
+
+    return let(padded, joined)
 
 
 def count_strings(urls: DataFrame) -> DataFrame:
     """(class, string, n) of all (class, url)."""
-    starts = F.sequence(F.lit(1), F.length("url"))
-    strings = urls.where(F.length("url") > 0).select("class", F.explode(F.transform(starts, lambda i: F.substring(_padded(F.col("url")), i, F.lit(ORDER + 1)))).alias("string"))
+    strings = urls.where(F.length("url") > 0).select("class", F.explode(_strings(F.col("url"))).alias("string"))
     return strings.groupBy("class", "string").agg(F.count("*").alias("n"))
 
 
@@ -135,8 +142,7 @@ def ratio(rows: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     if not (both.allow and both.block):
         return rows.withColumn("score", F.lit(0.0))
     kept = cut_lineage(rows.withColumn("__block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
-    starts = F.sequence(F.lit(1), F.length("url"))
-    strings = F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(_padded(F.col("url")), i, F.lit(ORDER + 1)))))
+    strings = F.explode(F.array_distinct(_strings(F.col("url"))))
     asked = cut_lineage(kept.where(F.length("url") > 0).select("__block", strings.alias("string")).distinct())
     found = asked.join(differences(asked.select("string").distinct(), model), "string")
     names = [c for c in kept.columns if c != "__block"]
