@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import MARKS, plain, prefix_hash, range_hash, text_chunks, words
 
 SPAN = 32
-#: Windows begin so many words apart; the rest of a window overlaps the next.
-STEP = 24
+#: Windows begin so many words apart; neighbours share the other half.
+STEP = 16
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 8, 12
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 15
