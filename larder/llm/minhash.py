@@ -274,24 +274,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Short lists share a task: about ``BLOCK`` rows of one coordinate.
     parts = F.ceil(F.col("length") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id", "coord"), parts).cast("int")
-    shares = max(1, lists.count() // (prefix * BLOCK))
 
-    def joined(rows: DataFrame, pairs_of, shape, schema: str) -> DataFrame:
-        share = F.pmod(F.xxhash64("value", "left", "right"), F.lit(shares)).alias("share")
+    def joined(rows: DataFrame, many: int, pairs_of, shape, schema: str) -> DataFrame:
+        share = F.pmod(F.xxhash64("value", "left", "right"), F.lit(max(1, many // (prefix * BLOCK)))).alias("share")
         chosen = rows.select("coord", share, "value", "left", "right", "id", "n", "component", "part", "sketch", "short")
         return chosen.groupBy("coord", "share").applyInArrow(_lists(pairs_of, shape), schema)
 
     blocks = rows.withColumn("part", part).withColumn("left", F.col("part")).withColumn("right", F.col("part")).withColumn("component", F.col("id"))
-    stars = cut_lineage(joined(blocks, _star, _as_pairs, "a long, b long").distinct())
+    stars = cut_lineage(joined(blocks, lists.count(), _star, _as_pairs, "a long, b long").distinct())
     sets = cut_lineage(_sets_of(docs, stars.select("a").unionAll(stars.select("b")).toDF("id")))
     first = cut_lineage(_confirm(stars, sets))
     merged = components(first)
 
     labelled = lists.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("coord", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("coord", "value")
-    open_ = labelled.join(mixed, ["coord", "value"]).join(signed, "id").withColumn("parts", parts).withColumn("part", part)
-    meet = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
-    cross = cut_lineage(joined(meet, _across, _as_partners, "coord int, share long, cell long, id long, partners array<long>"))
+    open_ = cut_lineage(labelled.join(mixed, ["coord", "value"]).withColumn("parts", parts).withColumn("part", part))
+    meeting = open_.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]  # every row meets each block of its list
+    meet = open_.join(signed, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other"))
+    cross = cut_lineage(joined(meet, meeting, _across, _as_partners, "coord int, share long, cell long, id long, partners array<long>"))
     more = _confirm_cells(cross, _sets_of(docs, cross.select("id")))
     links = cut_lineage(first.unionAll(more))
 
