@@ -1,12 +1,14 @@
 """Documents to packed training windows in five stages.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Rows with a null id pass the
-filters that need an id (near-duplicates, decontamination); null texts are empty.
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Near-duplicates and decontamination
+work on row keys of their own, so rows with a null id or with one id are judged each by their text; of a group of
+near-duplicates the smallest id stays (null ids last, one row of equal ids). Null texts are empty; further columns may
+have any name. An empty table passes all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import minhash, packing, ppm, suffixes, tiling
@@ -21,38 +23,61 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _beside(docs: DataFrame) -> Column:
+    """All columns but the text as one struct of fields c0, c1, ..., whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    return F.struct(F.col("text").isNull().alias("no_text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)))
+
+
+def _unfolded(df: DataFrame, docs: DataFrame, struct: str, **own: Column) -> DataFrame:
+    """The columns of ``docs`` from a struct made by ``_beside`` and from ``own``."""
+    rest = [c for c in docs.columns if c != "text"]
+    found = {c: F.col(f"{struct}.c{k}") for k, c in enumerate(rest)} | {"text": F.col("text")} | own
+    return df.select(*(found[c].alias(c) for c in docs.columns))
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key for each row, written so that it stays, and the key's name, which no other column has."""
+    key = "row_key"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return cut_lineage(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a language: no letter, or no language at least ``LEAST_SCORE`` likely."""
     known = ppm.fit(docs)
-    rest = [c for c in docs.columns if c != "text"]
     # each text goes to the workers once and comes back as it is; the other columns travel as one
-    keyed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))).alias("rest"))
+    keyed = docs.select("doc_id", "text", _beside(docs).alias("rest"))
     found = ppm.identify(keyed, known, carry="rest", keep_text=True).where((F.col("lang_pred") != ppm.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    own = {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)} | {"text": F.col("text")}
-    return found.select(*(own[c].alias(c) for c in docs.columns))
+    return _unfolded(found, docs, "rest")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
-    near = minhash.near_duplicates(docs)
-    return kept_documents(docs, near.where(~F.col("kept")).select("id"))
+    keyed, key = _keyed(docs)
+    near = minhash.near_duplicates(keyed, id_col=key).select(F.col("id").alias("k"), "component_id")
+    named = near.join(keyed.select(F.col(key).alias("k"), "doc_id"), "k")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k"))
+    keepers = named.groupBy("component_id").agg(first.alias("first")).select("first.k")
+    gone = cut_lineage(named.select("k").join(keepers, "k", "left_anti"))
+    return kept_documents(keyed, gone, id_col=key).drop(key)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes or more that an earlier document has; a document of which nothing is left goes."""
-    rest = [F.col(c) for c in docs.columns if c != "text"]
-    keyed = docs.withColumn("__row", F.struct(F.col("text").isNull().alias("__null"), *rest))
-    cut = suffixes.cut_repeats(keyed, carry="__row").where("n_removed = 0 or n_removed < n_bytes")
-    text = F.when(~F.col("__row.__null"), suffixes.readable(F.col("kept")))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__row.n_chars"))
-    own = {"text": F.col("text"), "n_chars": length}
-    return cut.withColumn("text", text).select(*(own.get(c, F.col(f"__row.{c}")).alias(c) for c in docs.columns))
+    keyed = docs.select("doc_id", "text", _beside(docs).alias("rest"))
+    cut = suffixes.cut_repeats(keyed, carry="rest").where("n_removed = 0 or n_removed < n_bytes")
+    kept = cut.withColumn("text", F.when(~F.col("rest.no_text"), suffixes.readable(F.col("kept"))))
+    given = F.col(f"rest.c{[c for c in docs.columns if c != 'text'].index('n_chars')}")
+    return _unfolded(kept, docs, "rest", n_chars=F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(given))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaks = cut_lineage(tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("id"))
-    return kept_documents(docs, leaks)
+    keyed, key = _keyed(docs)
+    leaks = cut_lineage(tiling.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select("id"))
+    return kept_documents(keyed, leaks, id_col=key).drop(key)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
