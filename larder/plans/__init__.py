@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scans", "filters", "search", "mealplans", "joins", "aggregates", "text", "values", "streams", "extension"]
+MODULES = ["scans", "filters", "search", "mealplans", "joins", "aggregates", "text", "values", "streams", "extension", "recipe_lists"]
 
 
 def load_all():
