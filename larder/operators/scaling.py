@@ -34,3 +34,12 @@ def add_kept(df: DataFrame, name: str, value: Column, test) -> DataFrame:
     below the projection and evaluates a costly value a second time.
     """
     return df.withColumn(name, F.explode(F.filter(F.array(value), test)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt over at least two tasks a core.
+
+    For narrow rows of a small file, which Spark reads in one task, before costly work on each row.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions.dates import epoch_micros
 from larder.functions.text import as_text, url_canonical
 from larder.operators import catalog, social
-from larder.operators.scaling import keep_first
+from larder.operators.scaling import keep_first, spread
 from larder.plans.registry import query
 from larder.session import scratch_path
 from larder.sources import files, html, ingest, tables
@@ -173,7 +173,8 @@ CARD = """'<html><body><div class="product"><h4><a>' || p_name || '</a></h4><spa
       'https://img.example.com/' || CAST(p_partkey AS VARCHAR) || '.jpg' AS image_url FROM part""")
 def html_card_extract(spark, d):
     """Product cards of stored listing pages; cards without a price are dropped."""
-    pages = tables.table(spark, d, "part").select(
+    part = spread(tables.table(spark, d, "part").select("p_partkey", "p_name", "p_size"))
+    pages = part.select(
         F.col("p_partkey").alias("page_id"), F.expr(CARD.replace("VARCHAR", "STRING")).alias("html"))
     return html.extract_cards(pages, "Σκλαβενίτης").select(
         "page_id", "name", "normalized_name", "price", "old_price", "is_on_sale", "is_1plus1", "image_url")
