@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.operators.scaling import spread
+
 LINE_ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
     "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -314,7 +316,7 @@ BARE = ["<ul><li>{inner}</li></ul>", "<section><div><p>{inner}</p></div></sectio
 
 def store_pages(spark, sf_dir) -> DataFrame:
     """(page_id, store, html): a listing page for each part at one of the eight stores; every second round of pages has no card element."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand"))
     key, stores = F.col("p_partkey"), list(LISTINGS)
     sale = key % 3 == 0
 
