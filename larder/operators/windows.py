@@ -2,13 +2,15 @@
 
 A window of a key opens at its first hit after the previous window has run out, and
 admits the first ``limit`` hits. Which hits open a window is a chain: from one
-anchor to the first hit more than a window later. The chain of every key is walked
-by pointer doubling, so neither a key with most of the hits nor a long history is
-ever gathered in one task: all steps are keyed by (key, time bucket).
+anchor to the first hit more than a window later. Keys of at most ``LIGHT`` hits are
+sorted and walked hit by hit. The chain of a heavier key is walked by pointer doubling,
+so neither a key with most of the hits nor a long history is ever gathered in one task:
+all these steps are keyed by (key, time bucket).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from larder.operators.scaling import top_k
 from larder.session import cut_lineage
 
 
+#: Most hits of a key that are walked in one task.
+LIGHT = 100_000
 SLICES = 16  # time slices per window: the unit one task sorts when it looks for the next hit
 
 
@@ -69,7 +73,7 @@ def anchors(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def busy_keys(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with more than ``limit`` hits in two neighbouring buckets.
+    """Keys with more than ``limit`` hits in two neighbouring buckets, and their number of hits ``n``.
 
     A window spans at most two buckets, so all hits of the other keys are admitted
     and their chains need not be walked.
@@ -77,13 +81,33 @@ def busy_keys(hits: DataFrame, keys: list[str]) -> DataFrame:
     n = hits.groupBy(*keys, "limit", F.floor(F.col("t") / F.col("window")).alias("bucket")).count()
     following = n.select(*keys, (F.col("bucket") - 1).alias("bucket"), F.col("count").alias("more"))
     pair = n.join(following, [*keys, "bucket"], "left")
-    return pair.where(F.col("count") + F.coalesce("more", F.lit(0)) > F.col("limit")).select(*keys).distinct()
+    over = F.col("count") + F.coalesce("more", F.lit(0)) > F.col("limit")
+    return pair.groupBy(*keys).agg(F.max(over).alias("busy"), F.sum("count").alias("n")).where("busy").drop("busy")
 
 
-def admit(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``admitted`` to hits with columns keys, event_id, t, window (microseconds), limit."""
-    busy = cut_lineage(busy_keys(hits, keys))
-    contested = hits.join(busy, keys, "left_semi")
+def walked(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event_id) of the admitted hits, each key walked in order of t and event_id; hits without t are a window of their own."""
+    rows = hits.select(*keys, "event_id", "t", "window", "limit").repartition(*keys).sortWithinPartitions(*keys, "t", "event_id")
+    own = range(len(keys))
+
+    def run(batches):
+        key = reset = None
+        count = 0
+        for batch in batches:
+            let_in = []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for here, t, window, limit in zip(zip(*(columns[i] for i in own)), *columns[len(keys) + 1 :]):
+                if here != key or (t is not None and (reset is None or t > reset)):
+                    key, count, reset = here, 0, None if t is None else t + window
+                count += 1
+                let_in.append(count <= limit)
+            yield batch.select(range(len(keys) + 1)).filter(pa.array(let_in, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.select(*keys, "event_id").schema)
+
+
+def _doubled(contested: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, event_id) of the admitted hits, chains walked by pointer doubling."""
     points = cut_lineage(contested.select(*keys, "window", "t").distinct())
     opened = anchors(points, keys).withColumnRenamed("t", "anchor")
     width = points.select(*keys, "window").distinct()
@@ -98,8 +122,18 @@ def admit(hits: DataFrame, keys: list[str]) -> DataFrame:
     anchor = F.when(F.col("same") <= F.col("t"), F.col("same")).otherwise(F.col("before"))
     most = contested.agg(F.max("limit")).first()[0] or 0  # one number: no window admits more
     first = top_k(both.withColumn("anchor", anchor), [*keys, "anchor"], ["t", "event_id"], most, rank="place")
-    let_in = first.where("place <= limit").select(*keys, "event_id", F.lit(True).alias("in_window"))
-    calm = busy.withColumn("contested", F.lit(True))
+    return first.where("place <= limit").select(*keys, "event_id")
+
+
+def admit(hits: DataFrame, keys: list[str], light: int = LIGHT) -> DataFrame:
+    """Adds ``admitted`` to hits with columns keys, event_id, t, window (microseconds), limit."""
+    busy = cut_lineage(busy_keys(hits, keys))
+    let_in = walked(hits.join(busy.where(F.col("n") <= light), keys, "left_semi"), keys)
+    heavy = busy.where(F.col("n") > light)
+    if not heavy.isEmpty():
+        let_in = let_in.unionByName(_doubled(hits.join(heavy, keys, "left_semi"), keys))
+    let_in = let_in.withColumn("in_window", F.lit(True))
+    calm = busy.select(*keys, F.lit(True).alias("contested"))
     out = hits.join(calm, keys, "left").join(let_in, [*keys, "event_id"], "left")
     admitted = F.col("contested").isNull() | F.col("in_window").isNotNull()
     return out.select(*[hits[c] for c in hits.columns if c not in (*keys, "event_id")], *keys, "event_id", admitted.alias("admitted"))
