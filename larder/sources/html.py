@@ -9,6 +9,7 @@ from __future__ import annotations
 
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,17 +295,20 @@ def site_contracts(pages: DataFrame, contracts: dict | None = None, site: str =
         every = {name: dom.Selectors({k: sel for k, (_, sel, _) in enumerate(checks)}) for name, checks in contracts.items()}
         for batch in batches:
             many: dict = {}
-            for name, text in zip(batch[site], batch["html"]):
+            # texts are taken out of the batch one at a time, so no second copy of its pages is held
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if name not in every:
                     continue
-                page = every[name].walk(dom.parse(text))
+                page = every[name].walk(dom.parse(text.as_py()))
                 for k, (label, _, least) in enumerate(contracts[name]):
                     passed, failed = many.get((name, label), (0, 0))
                     good = len(page.all(k)) >= least
                     many[name, label] = passed + good, failed + (not good)
-            yield pd.DataFrame([(*key, *n) for key, n in many.items()], columns=["site", "check", "passed", "failed"])
+            names = ["site", "check", "passed", "failed"]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (*key, *n))) for key, n in many.items()], pa.schema(zip(names, kinds)))
 
-    found = pages.select(site, "html").mapInPandas(run, "site string, check string, passed long, failed long")
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    found = pages.select(site, "html").mapInArrow(run, "site string, check string, passed long, failed long")
     sums = found.groupBy("site", "check").agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
     known = pages.sparkSession.createDataFrame([(name, label) for name, checks in contracts.items() for label, _, _ in checks], "site string, check string")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
