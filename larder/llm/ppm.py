@@ -23,10 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larder.llm.common import give_back, plain, text_chunks
+from larder.llm.common import chunks, give_back, plain, text_chunks
 
 ORDER = 3
 UNKNOWN = "und"
+#: Bytes of text that are scored at once (a longer document is one piece); each byte takes some 100 bytes then.
+PIECE = 1 << 17
+#: Strings a task holds before it passes their counts on.
+HELD = 1_000_000
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -45,6 +49,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
     """(lang, gram, n) over all (lang, text): counts of full-length strings, merged per task before the shuffle."""
 
     def each(batches):
+        give_back()
         held: dict[str, list] = {}
 
         def flush():
@@ -63,9 +68,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 for lang in sorted(set(langs[lo:hi].tolist())):
                     keys, n = np.unique(grams[row == lang], return_counts=True)
                     held.setdefault(lang, []).append((keys, n))
-            if sum(len(k) for parts in held.values() for k, _ in parts) > 4_000_000:
+            if sum(len(k) for parts in held.values() for k, _ in parts) > HELD:
                 yield from flush()
         yield from flush()
+        give_back()
 
     return rows.mapInArrow(each, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -134,6 +140,10 @@ class Trees:
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each row under each language."""
+        parts = [self._lengths(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets, PIECE)]
+        return np.concatenate([np.zeros((0, len(self.langs))), *parts])
+
+    def _lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         if not len(data):
             return out
