@@ -67,8 +67,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes or more that an earlier document has; a document of which nothing is left goes."""
     keyed = docs.select("doc_id", "text", _beside(docs).alias("rest"))
-    cut = suffixes.cut_repeats(keyed, carry="rest").where("n_removed = 0 or n_removed < n_bytes")
-    kept = cut.withColumn("text", F.when(~F.col("rest.no_text"), suffixes.readable(F.col("kept"))))
+    cut = suffixes.cut_repeats(keyed, carry="rest", as_text=True).where("n_removed = 0 or n_removed < n_bytes")
+    kept = cut.withColumn("text", F.when(~F.col("rest.no_text"), F.col("kept")))
     given = F.col(f"rest.c{[c for c in docs.columns if c != 'text'].index('n_chars')}")
     return _unfolded(kept, docs, "rest", n_chars=F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(given))
 

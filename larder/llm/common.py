@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +40,23 @@ def give_back() -> None:
         trim(0)
 
 
-_given = [0.0]
+def giving_back(each):
+    """``each(key, table)`` or ``each(key, table, table)``, after which the worker gives back what it freed: workers
+    that wait for their next group are small while others work."""
 
+    def done(*args):
+        try:
+            return each(*args)
+        finally:
+            give_back()
 
-def give_back_at_times(seconds: float = 2.0) -> None:
-    """``give_back``, unless this worker did so a moment ago: for functions that run once for each group."""
-    if time.monotonic() - _given[0] > seconds:
-        give_back()
-        _given[0] = time.monotonic()
+    def one(key, rows):
+        return done(key, rows)
+
+    def two(key, left, right):
+        return done(key, left, right)
+
+    return one if each.__code__.co_argcount == 2 else two  # Spark reads the number of arguments
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +83,10 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def text_chunks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each chunk of an Arrow string column."""
     data, offsets = text_bytes(column)
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, size):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
