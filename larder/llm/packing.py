@@ -113,8 +113,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 10_000], pa.int64()) for c in out], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([np.frombuffer(encoder.blob(text.as_py()), encoder.kind), end])
+            for name, own in zip(batch.column(0).to_pylist(), encoder.rows(batch.column(1)), strict=True):
+                ids = np.concatenate([own, end])
                 packer.add(len(held), len(ids))
                 held.append((name, ids))
                 tokens += len(ids)
