@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.llm import minhash, packing, ppm, suffixes, tiling
 from larder.llm.common import table
 from larder.llm.queries import kept_documents, vocabulary
-from larder.session import cut_lineage
+from larder.session import cut_lineage, passing_stages
 
 #: Posterior probability below which a text belongs to no language.
 LEAST_SCORE = 0.5
@@ -41,7 +41,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     key = "row_key"
     while key in map(str.lower, docs.columns):
         key += "_"
-    return cut_lineage(docs.withColumn(key, F.monotonically_increasing_id())), key
+    return cut_lineage(docs.withColumn(key, F.monotonically_increasing_id()), compression="zstd"), key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +56,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
     keyed, key = _keyed(docs)
-    near = minhash.near_duplicates(keyed, id_col=key).select(F.col("id").alias("k"), "component_id")
-    named = near.join(keyed.select(F.col(key).alias("k"), "doc_id"), "k")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k"))
-    keepers = named.groupBy("component_id").agg(first.alias("first")).select("first.k")
-    gone = cut_lineage(named.select("k").join(keepers, "k", "left_anti"))
+    with passing_stages(spark):
+        near = minhash.near_duplicates(keyed, id_col=key).select(F.col("id").alias("k"), "component_id")
+        named = near.join(keyed.select(F.col(key).alias("k"), "doc_id"), "k")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k"))
+        keepers = named.groupBy("component_id").agg(first.alias("first")).select("first.k")
+        gone = cut_lineage(named.select("k").join(keepers, "k", "left_anti"), lasting=True)
     return kept_documents(keyed, gone, id_col=key).drop(key)
 
 
@@ -97,5 +98,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        with passing_stages(spark):
+            docs = cut_lineage(stage(spark, docs, sf_dir), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
